@@ -143,6 +143,16 @@ def sum_before(c: Column) -> Ordered:
     )
 
 
+def smaller_before() -> Ordered:
+    """Rows that come strictly before in the order; rows with equal order values get the same number."""
+    return Ordered(
+        lambda w, g, r: (F.rank().over(w) - 1).cast("long"),
+        lambda o: F.count(F.lit(1)),
+        lambda s, w: F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        lambda x, y, first, last: x + F.coalesce(y, F.lit(0).cast("long")),
+    )
+
+
 def rows_before() -> Ordered:
     return sum_before(F.lit(1).cast("long"))
 
@@ -207,10 +217,20 @@ def key_max(c: Column) -> Ordered:
     )
 
 
-def key_count() -> Ordered:
+def key_sum(c: Column) -> Ordered:
     return Ordered(
-        lambda w, g, r: F.count(F.lit(1)).over(g),
-        lambda o: F.count(F.lit(1)),
+        lambda w, g, r: F.sum(c).over(g),
+        lambda o: F.sum(c),
+        lambda s, w: F.sum(s).over(w.rowsBetween(*_FULL)),
+        lambda x, y, first, last: F.coalesce(y, x),
+    )
+
+
+def key_count(c: Column | None = None) -> Ordered:
+    counted = F.lit(1) if c is None else c
+    return Ordered(
+        lambda w, g, r: F.count(counted).over(g),
+        lambda o: F.count(counted),
         lambda s, w: F.sum(s).over(w.rowsBetween(*_FULL)),
         lambda x, y, first, last: F.coalesce(y, x),
     )
@@ -273,3 +293,21 @@ def with_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     }
     keep = [c for c in df.columns if c not in made]
     return joined.select(*keep, *[c.alias(n) for n, c in made.items()])
+
+
+def with_random_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int, name: str = "random_rank",
+                     rows: int | None = None, rows_per_chunk: int = HOT_MIN_ROWS) -> DataFrame:
+    """Add each row's 0-based place in a seeded random order of its key group.
+
+    The order is that of a hash of ``identity``, so it does not depend on how the
+    table is partitioned. The top bits of the hash number the chunks: they are
+    uniform, so large groups split evenly without looking at the data.
+    """
+    rows = df.count() if rows is None else rows
+    bits = max(0, math.ceil(math.log2(max(rows, 1) / rows_per_chunk)))
+    out = df.withColumn("order_hash", F.xxhash64(*[F.col(c) for c in identity], F.lit(seed)))
+    chunk = chunk_column(keys)
+    if bits:
+        out = out.withColumn(chunk, F.shiftright("order_hash", 64 - min(bits, 16)).cast("int"))
+    out = with_ordered(out, keys, ["order_hash", *identity], {name: rows_before()})
+    return out.drop("order_hash", chunk) if bits else out.drop("order_hash")
