@@ -19,8 +19,13 @@ def not_nan(c: Column) -> Column:
     return F.when(c != "nan", c)
 
 
+def is_number(c: Column) -> Column:
+    """True for text that reads as a number; a trailing type letter (``12f``), which a cast would take, does not."""
+    return c.try_cast("double").isNotNull() & ~c.rlike(r"[0-9.]\s*[dDfF]\s*$")
+
+
 def numbers_only(c: Column) -> Column:
-    return F.when(c.try_cast("double").isNotNull(), c)
+    return F.when(is_number(c), c)
 
 
 def strip_float_suffix(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotlog import constants as K
@@ -100,9 +100,11 @@ def _day(value) -> dt.date:
 
 
 def in_date_range(df: DataFrame, start, end, column: str = "start_time") -> DataFrame:
-    """``start`` <= column < the day after ``end``."""
-    lo = F.lit(dt.datetime.combine(_day(start), dt.time())).cast("timestamp_ntz")
-    hi = F.lit(dt.datetime.combine(_day(end) + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+    """``start`` <= column < the day after ``end``; both may be date columns."""
+    lo = start.cast("timestamp_ntz") if isinstance(start, Column) else F.lit(
+        dt.datetime.combine(_day(start), dt.time())).cast("timestamp_ntz")
+    hi = F.date_add(end, 1).cast("timestamp_ntz") if isinstance(end, Column) else F.lit(
+        dt.datetime.combine(_day(end) + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
     return df.filter((F.col(column) >= lo) & (F.col(column) < hi))
 
 

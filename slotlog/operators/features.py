@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +136,7 @@ def add_days_advanced(status_df: DataFrame, slot_df: DataFrame) -> DataFrame:
     return lead_time_columns(slot_df.join(lead, ["FillerOrderNo", "start_time"]))
 
 
-def add_no_show_before(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Sequence[str] = ()) -> DataFrame:
     """A patient's earlier appointments and no-shows, not counting the row itself.
 
     Slots are expected once per patient, appointment and start. ``history``
@@ -147,7 +149,7 @@ def add_no_show_before(df: DataFrame, history: DataFrame | None = None) -> DataF
         base = base.withColumn("is_current", F.lit(True)).unionByName(
             old.withColumn("is_current", F.lit(False)), allowMissingColumns=True)
     missed = F.coalesce(F.col("NoShow").cast("long"), F.lit(0).cast("long"))
-    out = ordered.with_ordered(base, ["MRNCmpdId"], ["start_time", "FillerOrderNo"], {
+    out = ordered.with_ordered(base, [*per, "MRNCmpdId"], ["start_time", "FillerOrderNo"], {
         "no_show_before": ordered.sum_before(missed),
         "appts_before": ordered.rows_before(),
     })

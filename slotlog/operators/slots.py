@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,14 +52,14 @@ def position(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in status.message_order(df, "date")])
 
 
-def add_start_end(df: DataFrame) -> DataFrame:
+def add_start_end(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Start and end of slots on the rows that decide them; the end is carried back within the appointment."""
     c = F.col
     out = df.withColumns({
         "start_time": rules.slot_start(c("NoShow"), c("now_status"), c("was_sched_for_date")),
         "end_time": rules.slot_end(c("NoShow"), c("now_status"), c("was_sched_for_date")),
     })
-    return ordered.with_ordered(out, ["FillerOrderNo"], status.message_order(out, "date"),
+    return ordered.with_ordered(out, [*per, "FillerOrderNo"], status.message_order(out, "date"),
                                 {"end_time": ordered.next_value(c("end_time"))})
 
 
@@ -85,24 +85,24 @@ def no_show_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS
         "was_sched_for_date")
 
 
-def past_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS) -> DataFrame:
+def past_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS, per: Sequence[str] = ()) -> DataFrame:
     """Attended and missed slots in one aggregation: a row is never both."""
     missed = F.col("NoShow")
     tagged = df.filter(missed | rules.holds(F.col("slot_type").isin("show", "inpatient"))).withColumn(
         "slot_key", F.when(missed, F.col("was_sched_for_date").cast("string")).otherwise("attended"))
-    return _aggregate(tagged, ["FillerOrderNo", "MRNCmpdId", "slot_key"], columns).drop("slot_key")
+    return _aggregate(tagged, [*per, "FillerOrderNo", "MRNCmpdId", "slot_key"], columns).drop("slot_key")
 
 
-def future_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS) -> DataFrame:
+def future_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS, per: Sequence[str] = ()) -> DataFrame:
     """One slot per appointment, patient and planned time, whatever happened later."""
-    out = _aggregate(df, ["FillerOrderNo", "MRNCmpdId", "now_sched_for_date"], columns)
+    out = _aggregate(df, [*per, "FillerOrderNo", "MRNCmpdId", "now_sched_for_date"], columns)
     return out.withColumns({
         "start_time": F.col("now_sched_for_date"),
         "end_time": plus_minutes(F.col("now_sched_for_date"), K.SLOT_MINUTES),
     }).drop("now_sched_for_date")
 
 
-def dedup_patient_slot(df: DataFrame, *tie: str) -> DataFrame:
+def dedup_patient_slot(df: DataFrame, *tie: str, per: Sequence[str] = ()) -> DataFrame:
     """First slot per patient and start: attended before missed, any reason before none, then ``tie``.
 
     The row-number filter lets Spark cut each task's rows to one per key before the shuffle.
@@ -111,20 +111,23 @@ def dedup_patient_slot(df: DataFrame, *tie: str) -> DataFrame:
     if "reason" in df.columns:
         order.append(text.reason_rank(F.col("reason")).asc_nulls_last())
     order += [F.col(c).asc_nulls_last() for c in (*tie, "FillerOrderNo") if c in df.columns]
-    w = Window.partitionBy("MRNCmpdId", "start_time").orderBy(*order)
+    w = Window.partitionBy(*per, "MRNCmpdId", "start_time").orderBy(*order)
     return df.withColumn("multi_slot", F.row_number().over(w)).filter("multi_slot = 1").drop("multi_slot")
 
 
 def build_slots(status_df: DataFrame, valid_date_range, columns: dict[str, Aggregate] | None = None,
-                include_id_cols: bool = True, build_future_slots: bool = False) -> DataFrame:
-    """Status changes to slots. ``columns`` names what each slot keeps and how it is aggregated."""
+                include_id_cols: bool = True, build_future_slots: bool = False, per: Sequence[str] = ()) -> DataFrame:
+    """Status changes to slots. ``columns`` names what each slot keeps and how it is aggregated.
+
+    The date range may be given as columns of ``per``, then every log has its own.
+    """
     columns = dict(columns or DEFAULT_COLUMNS)
     wants_start = "start_time" in columns
     columns.setdefault("start_time", smallest)
-    df = add_start_end(status_df)
-    slots = future_slots(df, columns) if build_future_slots else past_slots(df, columns)
+    df = add_start_end(status_df, per)
+    slots = future_slots(df, columns, per) if build_future_slots else past_slots(df, columns, per)
     slots = cleaning.in_date_range(slots, *valid_date_range)
-    slots = dedup_patient_slot(slots.withColumn("FillerOrderNo", F.col("FillerOrderNo").cast("long")))
+    slots = dedup_patient_slot(slots.withColumn("FillerOrderNo", F.col("FillerOrderNo").cast("long")), per=per)
     drop = ([] if include_id_cols else ["FillerOrderNo", "MRNCmpdId"]) + ([] if wants_start else ["start_time"])
     return slots.drop(*drop)
 

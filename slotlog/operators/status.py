@@ -75,9 +75,11 @@ def label_changes(df: DataFrame) -> DataFrame:
 
 
 def build_status_log(raw: DataFrame, exclude_patient_ids: Sequence[str] | DataFrame = (),
-                     id_suffix: str = K.PATIENT_ID_SUFFIX) -> DataFrame:
+                     id_suffix: str = K.PATIENT_ID_SUFFIX, per: Sequence[str] = ()) -> DataFrame:
     """Raw export rows to labelled status changes.
 
+    ``per`` names columns that keep logs apart, such as the file a row came from.
+
     All per-appointment columns come from one window pass, hence one exchange
     on the appointment number. Rows of test patients still count as a previous
     status, but not for the first and last planned time.
@@ -97,7 +99,7 @@ def build_status_log(raw: DataFrame, exclude_patient_ids: Sequence[str] | DataFr
         if exclude_patient_ids:
             test = test | F.col("MRNCmpdId").isin(list(exclude_patient_ids))
     real = ~test
-    df = ordered.with_ordered(df, KEY, message_order(df), {
+    df = ordered.with_ordered(df, [*per, *KEY], message_order(df), {
         **previous_state(df),
         "first_created_date": ordered.key_min(F.when(real, F.col("History_MessageDtTm"))),
         "final_now_sched_for_date": ordered.key_last(F.when(real, F.col("History_ObsStartPlanDtTm"))),
@@ -125,13 +127,13 @@ def drop_canceled_early(df: DataFrame, days: int = 3) -> DataFrame:
     return df.join(canceled_early(last_status(df), days), "FillerOrderNo", "left_anti")
 
 
-def times_rescheduled(df: DataFrame) -> DataFrame:
+def times_rescheduled(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Running number of different planned times, less the first two."""
     order = message_order(df, "date")
     # The finer grouping is already co-located by the appointment number: no further exchange.
-    out = ordered.with_ordered(df, KEY + ["now_sched_for_date"], order, {"same_before": ordered.rows_before()})
+    out = ordered.with_ordered(df, [*per, *KEY, "now_sched_for_date"], order, {"same_before": ordered.rows_before()})
     out = out.withColumn("is_new", (F.col("same_before") == 0).cast("long"))
-    out = ordered.with_ordered(out, KEY, order, {"new_before": ordered.sum_before(F.col("is_new"))})
+    out = ordered.with_ordered(out, [*per, *KEY], order, {"new_before": ordered.sum_before(F.col("is_new"))})
     seen = F.col("new_before") + F.col("is_new")
     return out.withColumn("times_rescheduled", F.greatest(seen - 2, F.lit(0).cast("long"))).drop(
         "same_before", "is_new", "new_before")

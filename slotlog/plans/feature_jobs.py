@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +44,10 @@ def outpatient(status_df: DataFrame) -> DataFrame:
     return status_df.filter(~rules.holds(F.col("patient_class_adj") == "inpatient"))
 
 
-def _with_lead_times(df: DataFrame) -> DataFrame:
+def _with_lead_times(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Lead time of the row's planned time on every row, next to the rows of the appointment (no join)."""
     changed = features.schedule_changed()
-    return ordered.with_ordered(df, ["FillerOrderNo", "now_sched_for_date"], status.message_order(df, "date"), {
+    return ordered.with_ordered(df, [*per, "FillerOrderNo", "now_sched_for_date"], status.message_order(df, "date"), {
         "sched_days_advanced": ordered.key_first(F.when(changed, F.col("now_sched_for"))),
         "sched_days_advanced_busday": ordered.key_first(F.when(changed, F.col("now_sched_for_busday"))),
     })
@@ -63,22 +64,23 @@ def _usual_slots(df: DataFrame) -> DataFrame:
 
 
 def build_feature_set(status_df: DataFrame, valid_date_range, post_codes: DataFrame, site: str,
-                      build_future_slots: bool = True, extra: dict[str, slots.Aggregate] | None = None) -> DataFrame:
+                      build_future_slots: bool = True, extra: dict[str, slots.Aggregate] | None = None,
+                      per: Sequence[str] = ()) -> DataFrame:
     """One row per slot with its features. ``extra`` names further columns of the log to keep."""
     df = outpatient(status_df)
     df = features.add_row_features(df, post_codes, site)
-    df = status.times_rescheduled(df)
+    df = status.times_rescheduled(df, per)
     columns = {**FEATURE_COLUMNS, **(extra or {})}
     if build_future_slots:
-        df = _with_lead_times(df)
+        df = _with_lead_times(df, per)
         columns.update({c: _largest for c in LEAD_COLUMNS})
-        out = slots.build_slots(df, valid_date_range, columns, build_future_slots=True)
+        out = slots.build_slots(df, valid_date_range, columns, build_future_slots=True, per=per)
         out = out.filter(F.col("sched_days_advanced").isNotNull())
         out = features.lead_time_columns(out)
     else:
         out = slots.build_slots(df, valid_date_range, columns)
         out = features.add_days_advanced(df, out)
-    out = features.add_no_show_before(features.add_calendar(out))
+    out = features.add_no_show_before(features.add_calendar(out), per=per)
     return _usual_slots(features.add_cycles(out))
 
 
@@ -98,22 +100,31 @@ def shift_business_days(day: dt.date, n: int) -> dt.date:
     return day - dt.timedelta(days=w) + dt.timedelta(days=7 * (index // 5) + index % 5)
 
 
-def features_ahead(status_df: DataFrame, day, post_codes: DataFrame, site: str, live: bool = False) -> DataFrame:
+def features_ahead(status_df: DataFrame, day, post_codes: DataFrame, site: str, live: bool = False,
+                   per: Sequence[str] = ()) -> DataFrame:
     """Features as known before ``day`` for slots 3 to 5 (live: 0 to 2) weekdays ahead.
 
     Kept are slots that are still planned for that time. Appointments whose newest
-    status is a cancellation more than three weekdays ahead are left out.
+    status is a cancellation more than three weekdays ahead are left out. ``day`` is a
+    date, or the name of a date column in ``per`` that gives each log its own day.
     """
-    day = _as_day(day)
-    lo, hi = [shift_business_days(day, n) for n in (AHEAD_LIVE if live else AHEAD)]
-    known = status_df.filter(dates.as_date(F.col("date")) < F.lit(day))
-    pertinent = cleaning.in_date_range(status_df, lo, hi, "now_sched_for_date").select("FillerOrderNo")
-    known = known.join(pertinent, "FillerOrderNo", "left_semi")
-    known = ordered.with_ordered(known, ["FillerOrderNo"], status.message_order(known, "date"), {
+    n_lo, n_hi = AHEAD_LIVE if live else AHEAD
+    if isinstance(day, str) and day in per:
+        day = F.col(day)
+        lo, hi = dates.add_business_days(day, n_lo), dates.add_business_days(day, n_hi)
+    else:
+        day = _as_day(day)
+        lo, hi = shift_business_days(day, n_lo), shift_business_days(day, n_hi)
+        day = F.lit(day)
+    key = [*per, "FillerOrderNo"]
+    known = status_df.filter(dates.as_date(F.col("date")) < day)
+    pertinent = cleaning.in_date_range(status_df, lo, hi, "now_sched_for_date").select(*key)
+    known = known.join(pertinent, key, "left_semi")
+    known = ordered.with_ordered(known, key, status.message_order(known, "date"), {
         "newest": ordered.key_last(F.struct("now_status", "now_sched_for_date", "now_sched_for_busday")),
     })
     known = known.filter(~_canceled_early("newest")).withColumn("newest_planned", F.col("newest.now_sched_for_date"))
-    out = build_feature_set(known.drop("newest"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last})
+    out = build_feature_set(known.drop("newest"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last}, per=per)
     out = out.withColumn("NoShow", F.lit(False))
     current = out.filter(F.col("newest_planned") == F.col("start_time"))
     return cleaning.drop_any_null(current.withColumnRenamed("newest_planned", "now_sched_for_date"))
