@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def _usual_slots(df: DataFrame) -> DataFrame:
     """Weekdays, daytime, scheduled more than two days ahead."""
-    return cleaning.in_day_hours(cleaning.on_weekdays(df).filter(F.col("sched_days_advanced") > 2))
+    hour = F.hour("start_time")
+    return cleaning.on_weekdays(df).filter((F.col("sched_days_advanced") > 2) & (hour > 6) & (hour < 18))
 
 
 def build_feature_set(status_df: DataFrame, valid_date_range, post_codes: DataFrame, site: str,
@@ -143,14 +145,15 @@ def snapshot_days(planned: Column, ahead: tuple[int, int] = AHEAD) -> Column:
 
 
 def snapshots(status_df: DataFrame, first_day, last_day, post_codes: DataFrame, site: str,
-              ahead: tuple[int, int] = AHEAD, chunks: ordered.HotChunks | None = None) -> DataFrame:
+              ahead: tuple[int, int] = AHEAD, chunks: ordered.HotChunks | None = None, finish: bool = True) -> DataFrame:
     """``features_ahead`` for every weekday from ``first_day`` to ``last_day`` at once, one ``snapshot`` column more.
 
     The log is not joined with a calendar or with itself. Running windows give the
     state of each slot after every row; a row stands for the snapshot days up to the
     next row, and a planned time has at most three of them. The newest status of the
     appointment on a snapshot day is looked up by one ordered pass over the rows and
-    the snapshots together. Rows grow with the log, not with the days.
+    the snapshots together. Rows grow with the log, not with the days. Without ``finish``
+    the columns that follow from the start time alone are left to the caller.
     """
     c = F.col
     order = status.message_order(status_df, "date")
@@ -195,18 +198,38 @@ def snapshots(status_df: DataFrame, first_day, last_day, post_codes: DataFrame,
     out = out.withColumn("multi_slot", F.row_number().over(w)).filter("multi_slot = 1")
     out = out.filter(c("newest.now_sched_for_date") == c("start_time")).select(
         "snapshot", *slot_columns, dates.plus_minutes(c("start_time"), K.SLOT_MINUTES).alias("end_time"))
-    out = _usual_slots(_finish(out)).withColumn("NoShow", F.lit(False))
-    return cleaning.drop_any_null(out)
+    out = cleaning.drop_any_null(_usual_slots(out).withColumn("NoShow", F.lit(False)))
+    return _finish(out) if finish else out
+
+
+@dataclass(frozen=True)
+class LogChunks:
+    """Hot appointments and hot patients of a log, found once and used by every job on it."""
+
+    appointments: ordered.HotChunks | None = None
+    patients: ordered.HotChunks | None = None
+
+
+def find_log_chunks(log: DataFrame, time: str = "date", planned: str = "now_sched_for_date") -> LogChunks:
+    """Two scans of narrow columns on a large log, none on a small one.
+
+    A patient has no more slots than rows in the log, so patients that are not hot here
+    are not hot in any table made from it.
+    """
+    return LogChunks(ordered.find_hot_chunks(log, ["FillerOrderNo"], time),
+                     ordered.find_hot_chunks(log, ["MRNCmpdId"], planned))
 
 
 def training_data(status_df: DataFrame, valid_date_range, post_codes: DataFrame, site: str,
-                  append_outcome: bool = True, add_history: bool = True, split_hot: bool = True) -> DataFrame:
+                  append_outcome: bool = True, add_history: bool = True, chunks: LogChunks | None = None) -> DataFrame:
     """All slots of the period with the features known three to five weekdays before, and what came of them."""
     lo, hi = [_as_day(x) for x in valid_date_range]
     first_day = shift_business_days(lo, -5)
-    chunks = ordered.find_hot_chunks(status_df, ["FillerOrderNo"], "date") if split_hot else None
-    log = chunks.add(status_df, "date") if chunks else status_df
-    out = snapshots(log, first_day, hi, post_codes, site, chunks=chunks)
+    chunks = chunks or find_log_chunks(status_df)
+    log = status_df
+    if chunks.appointments and not ordered.find_chunk(log, ["FillerOrderNo"]):
+        log = chunks.appointments.add(log, "date")
+    out = snapshots(log, first_day, hi, post_codes, site, chunks=chunks.appointments, finish=False)
     out = cleaning.in_date_range(out, lo, hi)
 
     # All copies of a slot share the outcome, so reason and snapshot day decide which one stays.
@@ -215,11 +238,11 @@ def training_data(status_df: DataFrame, valid_date_range, post_codes: DataFrame,
     out = out.withColumn("multi_slot", F.row_number().over(w)).filter("multi_slot = 1").drop("multi_slot")
     if append_outcome:
         out = attach_outcome(out, slots.build_slots(log, [first_day, hi]))
+    # Calendar columns come last: many aliases below a join make the optimizer slow.
+    out = _finish(out)
     if add_history:
-        if split_hot:
-            out = ordered.split_hot_keys(out, ["MRNCmpdId"], "start_time")
-        out = features.add_no_show_before(out)
-        out = out.drop(ordered.chunk_column(["MRNCmpdId"]))
+        out = chunks.patients.add(out, "start_time") if chunks.patients else out
+        out = features.add_no_show_before(out).drop(ordered.chunk_column(["MRNCmpdId"]))
     return out
 
 

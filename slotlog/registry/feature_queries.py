@@ -89,7 +89,7 @@ _OCCUPATION = cascade("coalesce(Beruf, 'nan')", K.OCCUPATION_RULES,
 _REASON = f"""case when ReasonForStudy is null or ReasonForStudy = 'nan' then 'none_given'
   else {cascade('ReasonForStudy', K.REASON_RULES, "'other'")} end"""
 _RANK = "case reason " + " ".join(f"when '{l}' then {i}" for i, (_, l) in enumerate(K.REASON_RULES)) + \
-    f" when 'other' then {len(K.REASON_RULES)} when 'none_given' then {len(K.REASON_RULES)} end"
+    f" when 'other' then {len(K.REASON_RULES)} when 'none_given' then {len(K.REASON_RULES) + 1} end"
 _CODES = f"""{case_map('Klasse', K.INSURANCE_CLASS, "'unknown'")} as insurance_class,
   case when Sex = 'weiblich' then 1 else 0 end as sex,
   case when Zivilstand is null then 'not known' else {case_map('Zivilstand', K.MARITAL, "'nan'")} end as marital,
@@ -241,7 +241,7 @@ _ROW_COLS = ["modality", "occupation", "reason", "insurance_class", "sex", "age"
 def _feature_rows(source: str, prefix: str = "") -> str:
     """Outpatient rows of ``source`` with all row features."""
     p = prefix
-    return f"""{p}o as (select {source}.*, {_MODALITY} as modality, {_OCCUPATION} as occupation, {_REASON} as reason, {_CODES},
+    return f"""{p}o as (select {source}.* exclude (Sex), {_MODALITY} as modality, {_OCCUPATION} as occupation, {_REASON} as reason, {_CODES},
     year(date) - year(DateOfBirth) as age from {source} where patient_class_adj <> 'inpatient'),
   {p}d as (select {p}o.*, age * age as age_sq, age > 20 and age < 60 as age_20_60, distance_to_usz,
     distance_to_usz * distance_to_usz as distance_to_usz_sq, coalesce(distance_to_usz < 16, false) as close_to_usz,
@@ -308,15 +308,15 @@ def _ahead_sql(day: str, lo: int, hi: int, tail: str) -> str:
     where {_USUAL} and {_NOT_NULL}) {tail}"""
 
 
-@query("features_ahead", _ahead_sql("2024-01-18", 3, 5, "").join(["with ", f" select {_OUT}, {_HIST} from ah"]))
+@query("features_ahead", _ahead_sql("2024-01-22", 3, 5, "").join(["with ", f" select {_OUT}, {_HIST} from ah"]))
 def _(spark, sf):
-    return jobs.features_ahead(log(spark, sf), "2024-01-18", C.post_codes(spark, sf), C.SITE_POST_CODE).select(
+    return jobs.features_ahead(log(spark, sf), "2024-01-22", C.post_codes(spark, sf), C.SITE_POST_CODE).select(
         *FEATURE_OUT, *features.HISTORY_COLUMNS)
 
 
-@query("features_ahead_live", _ahead_sql("2024-01-18", 0, 2, "").join(["with ", f" select {_OUT}, {_HIST} from ah"]))
+@query("features_ahead_live", _ahead_sql("2024-01-22", 0, 2, "").join(["with ", f" select {_OUT}, {_HIST} from ah"]))
 def _(spark, sf):
-    return jobs.features_ahead(log(spark, sf), "2024-01-18", C.post_codes(spark, sf), C.SITE_POST_CODE, live=True).select(
+    return jobs.features_ahead(log(spark, sf), "2024-01-22", C.post_codes(spark, sf), C.SITE_POST_CODE, live=True).select(
         *FEATURE_OUT, *features.HISTORY_COLUMNS)
 
 
@@ -364,7 +364,9 @@ tr as (select tr0.* exclude (NoShow), coalesce(sl.NoShow, false) as NoShow,
 @query("generate_training_data", select(_TRAIN, f"cast(snapshot as timestamp) as snapshot, slot_outcome, slot_type_detailed, "
                                         f"slot_type, {_OUT}, {_HIST}", "nb"))
 def _(spark, sf):
-    return jobs.training_data(log(spark, sf), RANGE, C.post_codes(spark, sf), C.SITE_POST_CODE).select(
+    raw = C.status(spark, sf).withColumn("MRNCmpdId", text.strip_suffix(F.col("MRNCmpdId")))
+    chunks = jobs.find_log_chunks(raw, "History_MessageDtTm", "History_ObsStartPlanDtTm")
+    return jobs.training_data(log(spark, sf), RANGE, C.post_codes(spark, sf), C.SITE_POST_CODE, chunks=chunks).select(
         "snapshot", "slot_outcome", "slot_type_detailed", "slot_type", *FEATURE_OUT, *features.HISTORY_COLUMNS)
 
 
