@@ -117,10 +117,12 @@ def _(spark, sf):
 V = f"v as ({C.interval_sql(C.DUCK)})"
 
 
-@query("duration_minutes", select(V, "AccessionNumber, round(date_diff('microsecond', image_start, image_end) / 60e6, 6) as duration",
-                                  "v"))
+@query("duration_minutes", select(V, """AccessionNumber, date_diff('microsecond', image_start, image_end) as duration_us,
+  date_diff('microsecond', image_start, image_end) / 60e6 > 20 as is_long""", "v"))
 def _(spark, sf):
-    return features.add_duration(C.intervals(spark, sf)).select("AccessionNumber", "duration")
+    df = features.add_duration(C.intervals(spark, sf))
+    return df.select("AccessionNumber", F.round(F.col("duration") * 60_000_000).cast("long").alias("duration_us"),
+                     (F.col("duration") > 20).alias("is_long"))
 
 
 _INTEGRATE = f"""{SLOTS}, {V}, tm as (select AccessionNumber * 100 as AccessionNumber, image_device_id, image_start, image_end from v

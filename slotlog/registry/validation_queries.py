@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from slotlog import carriers as C
 from slotlog.functions import rules
 from slotlog.functions.dates import day_first
-from slotlog.operators import cleaning, slots, validation
+from slotlog.operators import slots, validation
+from slotlog.plans import validation_jobs
 from slotlog.registry import query
 from slotlog.registry.sql import S, SLOTS, busday, select
 from slotlog.registry.status_queries import slot_table
@@ -130,7 +131,7 @@ def _(spark, sf):
     return validation.jaccard(observed(spark, sf), derived(spark, sf))
 
 
-@query("jaccard_table", select(f"{SIDES}, {_JAC}", "slot_outcome, round(jaccard, 6) as development, 1.0 as evaluation", "jx"))
+@query("jaccard_table", select(f"{SIDES}, {_JAC}", "slot_outcome, round(jaccard, 6) as development, 1.0::double as evaluation", "jx"))
 def _(spark, sf):
     o, s = observed(spark, sf), derived(spark, sf)
     same = o.withColumn("MRNCmpdId", F.col("patient_id"))
@@ -162,7 +163,7 @@ def _(spark, sf):
     return validation.pair_sources(observed(spark, sf), derived(spark, sf))
 
 
-_MATRIX = """select position, outcome_observed, count(*) filter (where c.outcome_extract = 'show') as show,
+_MATRIX = """select position, outcome_observed, count(*) filter (where c.outcome_extract = 'show') as "show",
     count(*) filter (where c.outcome_extract = 'rescheduled') as rescheduled,
     count(*) filter (where c.outcome_extract = 'canceled') as canceled,
     count(*) filter (where c.outcome_extract = 'missing' and outcome_observed <> 'not present') as missing
@@ -176,14 +177,13 @@ def _(spark, sf):
 
 
 @query("validate_sources", f"""with {SIDES}, {_PAIRED}, {_JAC}, mx as ({_MATRIX})
-  select outcome_observed, show, rescheduled, canceled, missing, round(jaccard, 6) as jaccard
+  select outcome_observed, "show", rescheduled, canceled, missing, round(jaccard, 6) as jaccard
   from mx left join jx on slot_outcome = outcome_observed""")
 def _(spark, sf):
-    o = observed(spark, sf)
-    s = cleaning.keep_values(derived(spark, sf), "EnteringOrganisationDeviceID", ["MR1", "MR2", "MRDL"])
-    m = validation.confusion_matrix(o, s).drop("position")
-    j = validation.jaccard(o, s).withColumnRenamed("slot_outcome", "outcome_observed")
-    return m.join(j, "outcome_observed", "left")
+    matrix, overlap = validation_jobs.validate(
+        C.observations(spark, sf), derived(spark, sf), machines=["MR1", "MR2", "MRDL"])
+    overlap = overlap.withColumnRenamed("slot_outcome", "outcome_observed")
+    return matrix.drop("position").join(overlap, "outcome_observed", "left")
 
 
 @query("stack_sources", select(SIDES, """'dispo' as source, patient_id::varchar as patient_id, start_time,
