@@ -103,8 +103,9 @@ def lengths_by_type(df: DataFrame, exclude: str | None = None, max_minutes: floa
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per key from running counts over the distinct values."""
     c = F.col
-    counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = ordered.split_hot_keys(counts, keys, value)
+    present = df.filter(c(value).isNotNull())
+    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = ordered.split_hot_keys(counts, keys, value, at_most=present.count())
     counts = ordered.with_ordered(counts, keys, [value],
                                   {"below": ordered.sum_before(c("n")), "total": ordered.key_sum(c("n"))})
     covers = lambda i: (i >= c("below")) & (i < c("below") + c("n"))

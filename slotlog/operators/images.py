@@ -72,11 +72,10 @@ def trim_edges(df: DataFrame) -> DataFrame:
 
 def preprocess(df: DataFrame, split_hot: bool = False) -> DataFrame:
     """Known stations, complete and distinct rows, times, gaps, trimmed edges; windows share one exchange."""
-    out = cleaning.map_stations(df)
-    out = cleaning.distinct_with_keys(out, ["AccessionNumber", "AcquisitionDate"])
-    out = add_image_time(out)
+    out = add_image_time(cleaning.map_stations(df))
     if split_hot:
         out = ordered.split_hot_keys(out, KEY, "acq_datetime")
+    out = cleaning.distinct_with_keys(out, ["AccessionNumber", "AcquisitionDate"])
     return trim_edges(add_gap_columns(out)).drop(ordered.chunk_column(KEY))
 
 

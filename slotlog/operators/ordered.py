@@ -51,13 +51,15 @@ def _key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("\u001f", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> list[str]:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS,
+             at_most: int | None = None) -> list[str]:
     """Key texts that may hold more than ``share`` of the rows: never more than 2/share of them.
 
     One pass without a shuffle of the keys (frequent-items sketch, which never misses a
-    frequent key); tables too small to hurt are not scanned at all.
+    frequent key); tables too small to hurt are not scanned at all. ``at_most`` is a row
+    count the table is known not to exceed, it saves counting.
     """
-    if df.count() <= min_rows:
+    if (df.count() if at_most is None else at_most) <= min_rows:
         return []
     row = df.select(_key_text(keys).alias("k")).stat.freqItems(["k"], share).first()
     return sorted(row[0])
@@ -83,9 +85,10 @@ class HotChunks:
 
 
 def find_hot_chunks(df: DataFrame, keys: Sequence[str], by: str, share: float = HOT_SHARE,
-                    min_rows: int = HOT_MIN_ROWS, rows_per_chunk: int = HOT_MIN_ROWS) -> HotChunks | None:
+                    min_rows: int = HOT_MIN_ROWS, rows_per_chunk: int = HOT_MIN_ROWS,
+                    at_most: int | None = None) -> HotChunks | None:
     """Hot keys and chunk borders of ``df``, or None when no key is large enough to matter."""
-    hot = hot_keys(df, keys, share, min_rows)
+    hot = hot_keys(df, keys, share, min_rows, at_most)
     if not hot:
         return None
     value = _numeric(df, by)

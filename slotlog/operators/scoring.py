@@ -129,11 +129,16 @@ def score_table(df: DataFrame) -> DataFrame:
     return df.groupBy(MODEL, "score").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def cumulative(table: DataFrame) -> DataFrame:
-    """Score table with the counts above each score and the totals per model."""
+def cumulative(df: DataFrame) -> DataFrame:
+    """Distinct scores of (model, label, score) rows with the counts above each and the totals per model.
+
+    The rows are counted before they are grouped, which costs no scoring; only a large
+    table is looked at for models whose scores need chunks.
+    """
     c = F.col
-    t = table.withColumn("falling", -c("score"))
-    t = ordered.split_hot_keys(t, [MODEL], "falling")
+    rows = df.count()
+    t = score_table(df).withColumn("falling", -c("score"))
+    t = ordered.split_hot_keys(t, [MODEL], "falling", at_most=rows)
     return ordered.with_ordered(t, [MODEL], ["falling"], {
         "pos_above": ordered.sum_before(c("pos")), "neg_above": ordered.sum_before(c("neg")),
         "pos_all": ordered.key_sum(c("pos")), "neg_all": ordered.key_sum(c("neg")),
@@ -191,7 +196,7 @@ def log_loss_sum(label: Column, p: Column, eps: float = 1e-15) -> Column:
 def classification_metrics(df: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Macro F1, Brier score, log loss and both areas per model, from one table of distinct scores."""
     c = F.col
-    cum = cumulative(score_table(df))
+    cum = cumulative(df)
     above = c("score") > cutoff
     s = lambda cond, col: F.sum(F.when(cond, c(col)).otherwise(0))
     q = clip(c("score"), 1e-15)
@@ -224,7 +229,7 @@ def evaluation_table(df: DataFrame, steps: int = 10) -> DataFrame:
     strictly greater. Ranks are looked up in the running counts, not in a sorted list.
     """
     c = F.col
-    cum = cumulative(score_table(df)).withColumn("n", c("pos_all") + c("neg_all"))
+    cum = cumulative(df).withColumn("n", c("pos_all") + c("neg_all"))
     brier = F.sum(c("pos") * (c("score") - 1) * (c("score") - 1) + c("neg") * c("score") * c("score"))
     per_model = cum.groupBy(MODEL).agg((brier / F.max("n")).alias("brier_loss"))
     before = c("pos_above") + c("neg_above")

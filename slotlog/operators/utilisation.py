@@ -68,16 +68,18 @@ def fill_calendar(hours: DataFrame, as_of: dt.date) -> DataFrame:
 
 # ---------------------------------------------------------------- gaps
 
+def with_day(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumn("date", F.date_trunc("day", "image_start").cast("timestamp_ntz"))
+
+
 def join_calendar(intervals: DataFrame, hours: DataFrame) -> DataFrame:
     """Opening hours of the appointment's device and weekday in the period that holds on its day.
 
     Periods are closed at midnight of their last day.
     """
     c = F.col
-    df = intervals.withColumns({
-        "date": F.date_trunc("day", c("image_start")).cast("timestamp_ntz"),
-        "day_of_week": dates.weekday_name(c("image_start")),
-    }).filter(dates.is_weekday(c("image_start")))
+    df = with_day(intervals).withColumn("day_of_week", dates.weekday_name(c("image_start"))).filter(
+        dates.is_weekday(c("image_start")))
     h = broadcast_if_small(hours.withColumnsRenamed({"image_device_id": "h_device", "day_of_week": "h_day"}))
     on = ((c("image_device_id") == c("h_device")) & (c("day_of_week") == c("h_day"))
           & (c("image_start") >= c("applicable_from")) & (c("image_start") <= c("applicable_to")))
@@ -99,11 +101,11 @@ def idle_gaps(intervals: DataFrame, hours: DataFrame, buffer_minutes: int = 0, s
     a union and a second window pass.
     """
     c = F.col
+    if split_hot:
+        intervals = ordered.split_hot_keys(with_day(intervals), MACHINE_DAY, "image_start")
     df = join_calendar(intervals, hours)
     df = df.filter((c("image_end") > c("day_start_tp")) & (c("image_start") < c("day_end_tp"))).withColumn(
         "within_day", F.lit(1))
-    if split_hot:
-        df = ordered.split_hot_keys(df, MACHINE_DAY, "image_start")
     df = ordered.with_ordered(df, MACHINE_DAY, ["image_start", "AccessionNumber"], {
         "lag_start": ordered.lag(c("image_start")),
         "lead_start": ordered.lead(c("image_start")),

@@ -41,6 +41,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Columns that DuckDB gives as 32-bit integers; they are widened to the long that Spark's side has.
+NARROW = {
+    "reason_rank": ["reason_cascade"],
+    "sex": ["code_map_features", "build_feature_set", "features_ahead", "features_ahead_live", "snapshot_range_join",
+            "generate_training_data"],
+    "StationName": ["map_station_code", "preprocess_images"],
+    "big_image_gap": ["image_time_columns", "trim_edge_gaps", "preprocess_images"],
+    "image_device_id": ["image_interval", "opening_hours_agg", "calendar_gap_fill", "interval_join_calendar", "idle_gaps",
+                        "appts_and_gaps", "idle_time", "idle_daily", "idle_monthly", "idle_yearly", "melt_metrics",
+                        "stream_daily_utilisation"],
+    "day_start_tp": ["opening_hours_agg", "calendar_gap_fill"],
+    "day_end_tp": ["opening_hours_agg", "calendar_gap_fill"],
+    "first_appt": ["idle_gaps"],
+    "one_side_buffer_flag": ["idle_gaps"],
+    "position": ["confusion_matrix_two_sources"],
+    "l_linenumber": ["clip_probability", "split_by_time", "feature_pipeline", "custom_scalar_transform", "scan_excel_union"],
+    "label": ["fold_assign"],
+    "trials": ["permutation_test", "permutation_test_log_loss"],
+    "without_file": ["scan_dir_with_filename"],
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {}
+    for name, sql in ORACLES.items():
+        casts = ", ".join(f"cast({c} as bigint) as {c}" for c, names in NARROW.items() if name in names)
+        out[name] = f"select * replace ({casts}) from ({sql}) widened" if casts else sql
+    return out
+
+
 def load_all() -> None:
     """Import the query modules; each registers its own."""
     for topic in ("status", "feature", "machine", "validation", "describe", "model", "file", "stream"):

@@ -133,12 +133,12 @@ pt as (select *, tp / (tp + fp) as precision_, tp / p_all as recall, fp / n_all
 @query("pr_curve", select(_CURVE, "model, round(recall, 6) as recall, round(avg(precision_), 6) as precision", "pt",
                           "where tp_0 < p_all group by model, pt.recall"))
 def _(spark, sf):
-    return scoring.pr_curve(scoring.cumulative(scoring.score_table(stacked(spark, sf))))
+    return scoring.pr_curve(scoring.cumulative(stacked(spark, sf)))
 
 
 @query("roc_curve", select(_CURVE, "model, round(score, 6) as score, round(fpr, 6) as fpr, round(recall, 6) as tpr", "pt"))
 def _(spark, sf):
-    return scoring.roc_curve(scoring.cumulative(scoring.score_table(stacked(spark, sf))))
+    return scoring.roc_curve(scoring.cumulative(stacked(spark, sf)))
 
 
 _AREAS = """ar as (select model, sum((recall - recall_0) * (precision_ + precision_0) / 2) as auprc,
@@ -147,7 +147,7 @@ _AREAS = """ar as (select model, sum((recall - recall_0) * (precision_ + precisi
 
 @query("pr_roc_curves", select(f"{_CURVE}, {_AREAS}", "model, round(auprc, 6) as auprc, round(auroc, 6) as auroc", "ar"))
 def _(spark, sf):
-    return scoring.areas(scoring.cumulative(scoring.score_table(stacked(spark, sf))))
+    return scoring.areas(scoring.cumulative(stacked(spark, sf)))
 
 
 _F1 = "(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2"

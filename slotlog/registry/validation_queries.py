@@ -12,6 +12,7 @@ from slotlog.plans import validation_jobs
 from slotlog.registry import query
 from slotlog.registry.sql import S, SLOTS, busday, select
 from slotlog.registry.status_queries import slot_table
+from slotlog.session import cut_lineage
 
 D = f"{S}, d as ({C.observation_sql(C.DUCK, 's')})"
 
@@ -41,7 +42,8 @@ os as (select * from lb qualify row_number() over (partition by patient_id, star
 
 
 def observed(spark, sf):
-    return validation.observed_slots(C.observations(spark, sf))
+    """Observed slots, written once because the comparisons read them several times."""
+    return cut_lineage(validation.observed_slots(C.observations(spark, sf)), "observed")
 
 
 @query("day_first_parse", select(D, """patient_id, ingest_seq, type, strptime(date || ' ' || start_time, '%d.%m.%Y %H:%M')
@@ -116,7 +118,7 @@ ids as (select cast(date as date) as day, slot_outcome, cast(patient_id as varch
 
 
 def derived(spark, sf):
-    return slot_table(spark, sf).withColumn("MRNCmpdId", F.col("FillerOrderNo").cast("string"))
+    return cut_lineage(slot_table(spark, sf).withColumn("MRNCmpdId", F.col("FillerOrderNo").cast("string")), "derived")
 
 
 _JAC = """jg as (select slot_outcome, id, max(a) as a, max(b) as b from ids where day in (select day from obd)
