@@ -91,10 +91,13 @@ def at_seconds(day: Column, seconds: Column) -> Column:
 
 
 def day_first(date_text: Column, time_text: Column | None = None) -> Column:
-    """``dd.MM.yyyy`` with an optional ``HH:mm``; unreadable text gives null."""
+    """Day-first or ISO date text with an optional time of day; unreadable text gives null."""
     if time_text is None:
-        return F.try_to_timestamp(date_text, F.lit("d.M.yyyy")).cast("timestamp_ntz")
-    return F.try_to_timestamp(F.concat_ws(" ", date_text, time_text), F.lit("d.M.yyyy H:mm")).cast("timestamp_ntz")
+        value, formats = date_text, ["d.M.yyyy"]
+    else:
+        value, formats = F.concat_ws(" ", date_text, time_text), ["d.M.yyyy H:mm", "d.M.yyyy H:mm:ss"]
+    read = [F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(*read, value.try_cast("timestamp_ntz"))
 
 
 def image_clock(day: Column, clock: Column) -> Column:
