@@ -251,12 +251,14 @@ def evaluation_table(df: DataFrame, steps: int = 10) -> DataFrame:
         "ppv": tp / z(tp + fp), "npv": tn / z(tn + fn), "fpr": fp / z(fp + tn), "fnr": fn / z(tp + fn),
         "fdr": fp / z(tp + fp), "acc": (tp + tn) / c("n"),
     }
+    # Scaled and rounded half to even, as the published tables were.
+    to = lambda e, scale: F.rint(e * scale) / F.lit(float(scale))
     return out.select(
-        MODEL, c("step").cast("long").alias("step"), F.round("score", 3).alias("cutoff"),
-        *[F.round(v, 3).alias(k) for k, v in rounded.items()],
+        MODEL, c("step").cast("long").alias("step"), to(c("score"), 1000).alias("cutoff"),
+        *[to(v, 1000).alias(k) for k, v in rounded.items()],
         (tp + fp).alias("predicted_no_shows"), c("pos_all").alias("actual_no_shows"), c("n").alias("total_appts"),
-        F.round(share, 1).alias("share_predicted"), F.round(weekly, 1).alias("predictions_per_week"),
-        F.round(weekly * (tp / z(tp + fp)), 1).alias("correct_per_week"))
+        to(share, 10).alias("share_predicted"), to(weekly, 10).alias("predictions_per_week"),
+        to(weekly * (tp / z(tp + fp)), 10).alias("correct_per_week"))
 
 
 def prevalence(df: DataFrame, label: str = "label") -> DataFrame:

@@ -20,7 +20,9 @@ def plain_types(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            # Scale, round half away, scale back: the same steps as the oracle's round().
+            d = c.cast("double")
+            c = F.signum(d) * (F.floor(F.abs(d) * 1e6 + 0.5) / F.lit(1e6)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))

@@ -181,12 +181,12 @@ cm as (select ct.model, step, cutoff, n, count(*) filter (where label = 1 and sc
   from ct join m on m.model = ct.model group by 1, 2, 3, 4)"""
 
 
-@query("evaluation_table", select(_EVAL, f"""model, step, round(cutoff, 3) as cutoff, round({_F1}, 3) as f1_macro,
-  round(brier, 3) as brier_loss, round(tp / (tp + fn), 3) as tpr, round(tn / (tn + fp), 3) as tnr, round(tp / (tp + fp), 3) as ppv,
-  round(tn / (tn + fn), 3) as npv, round(fp / (fp + tn), 3) as fpr, round(fn / (tp + fn), 3) as fnr, round(fp / (tp + fp), 3) as fdr,
-  round((tp + tn) / n, 3) as acc, tp + fp as predicted_no_shows, tp + fn as actual_no_shows, n as total_appts,
-  round((tp + fp) / n, 1) as share_predicted, round(105 * ((tp + fp) / n), 1) as predictions_per_week,
-  round(105 * ((tp + fp) / n) * (tp / (tp + fp)), 1) as correct_per_week""", "cm"))
+@query("evaluation_table", select(_EVAL, f"""model, step, round_even((cutoff) * 1000, 0) / 1000 as cutoff, round_even(({_F1}) * 1000, 0) / 1000 as f1_macro,
+  round_even((brier) * 1000, 0) / 1000 as brier_loss, round_even((tp / (tp + fn)) * 1000, 0) / 1000 as tpr, round_even((tn / (tn + fp)) * 1000, 0) / 1000 as tnr, round_even((tp / (tp + fp)) * 1000, 0) / 1000 as ppv,
+  round_even((tn / (tn + fn)) * 1000, 0) / 1000 as npv, round_even((fp / (fp + tn)) * 1000, 0) / 1000 as fpr, round_even((fn / (tp + fn)) * 1000, 0) / 1000 as fnr, round_even((fp / (tp + fp)) * 1000, 0) / 1000 as fdr,
+  round_even(((tp + tn) / n) * 1000, 0) / 1000 as acc, tp + fp as predicted_no_shows, tp + fn as actual_no_shows, n as total_appts,
+  round_even(((tp + fp) / n) * 10, 0) / 10 as share_predicted, round_even((105 * ((tp + fp) / n)) * 10, 0) / 10 as predictions_per_week,
+  round_even((105 * ((tp + fp) / n) * (tp / (tp + fp))) * 10, 0) / 10 as correct_per_week""", "cm"))
 def _(spark, sf):
     return scoring.evaluation_table(stacked(spark, sf))
 
