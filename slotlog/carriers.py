@@ -44,10 +44,11 @@ class Dialect:
 SPARK, DUCK = Dialect(False), Dialect(True)
 
 
-def pick(index: str, values: list[str | None]) -> str:
-    """CASE text choosing by a number 0..n-1."""
-    arms = " ".join(f"when {i} then " + ("null" if v is None else f"'{v}'") for i, v in enumerate(values))
-    return f"case ({index}) % {len(values)} {arms} end"
+def pick(index: str, values: list[str | None], duck: bool = False) -> str:
+    """Text choosing from a constant list by a number 0..n-1; the number is computed once."""
+    items = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    at = f"cast(({index}) % {len(values)} as {'bigint' if duck else 'int'}) + 1"
+    return f"list_extract([{items}], {at})" if duck else f"element_at(array({items}), {at})"
 
 
 SERVICES = ["MR Schädel", "MR Knie links", "MR Herz", "MR Becken", "MR LWS", "MR Angio Hals", "MR Schulter",
@@ -76,17 +77,17 @@ def status_sql(d: Dialect) -> str:
       {planned} as History_ObsStartPlanDtTm,
       case user_id % 10 when 9 then 'stationär' when 8 then null when 7 then 'tagesklinik' else 'ambulant' end
         as PatientClass,
-      case when user_id % 17 = 16 then 'CT1' else {pick('user_id', ['MR1', 'MR2', 'MRDL'])} end
+      case when user_id % 17 = 16 then 'CT1' else {pick('user_id', ['MR1', 'MR2', 'MRDL'], d.duck)} end
         as EnteringOrganisationDeviceID,
-      {pick(f'user_id + {slot}', SERVICES)} as UniversalServiceName,
+      {pick(f'user_id + {slot}', SERVICES, d.duck)} as UniversalServiceName,
       case when {fon} % 3 = 0 then 's' else 'u' end as OrderStatus,
-      {pick('user_id', ['A', 'P', 'HP', 'X', None])} as Klasse,
-      {pick('user_id', ['weiblich', 'männlich'])} as Sex,
+      {pick('user_id', ['A', 'P', 'HP', 'X', None], d.duck)} as Klasse,
+      {pick('user_id', ['weiblich', 'männlich'], d.duck)} as Sex,
       {d.shift(d.plus_days("date '1940-01-01'", '(user_id * 377) % 25000'), 'day', '0')} as DateOfBirth,
-      {pick('user_id', MARITALS)} as Zivilstand,
+      {pick('user_id', MARITALS, d.duck)} as Zivilstand,
       {d.text('8000 + user_id % 27')} || '.0' as Zip,
-      {pick('user_id * 7', JOBS)} as Beruf,
-      {pick('event_id', REASONS)} as ReasonForStudy,
+      {pick('user_id * 7', JOBS, d.duck)} as Beruf,
+      {pick('event_id', REASONS, d.duck)} as ReasonForStudy,
       case when event_id % 3 = 0 then '+41' || {d.text('user_id')} end as Telefon
     from events"""
 
@@ -101,7 +102,7 @@ def image_sql(d: Dialect) -> str:
         {d.text("cast(" + d.fmt('acq', '%H%M%S', 'HHmmss') + " as bigint)")} || '.' || {d.fmt('acq', '%f', 'SSSSSS')}
           as AcquisitionTime
       from (select case when {acc} % 97 = 5 then 'X' else '' end || {d.text(acc)} as AccessionNumber,
-        case when {acc} % 11 = 10 then 'MT00000999' else {pick(acc, ['MT00000173', 'MT00000213'])} end as StationName,
+        case when {acc} % 11 = 10 then 'MT00000999' else {pick(acc, ['MT00000173', 'MT00000213'], d.duck)} end as StationName,
         event_id as SopImageUid, {acc} as SeriesUID, {at} as acq from events) i"""
 
 
@@ -121,7 +122,7 @@ def raster_sql(d: Dialect) -> str:
     day = {"duck": ["MO", "DI", "MI", "DO", "FR"]}["duck"]
     return f"""select Terminbuch, Wochentag, Terminbuch || ' ' || Wochentag as TERMINRASTER_NAME,
         gueltig_von, gueltig_bis, {d.fmt('t', '%H:%M', 'HH:mm')} as Termin, 30 as dauer_min
-      from (select distinct {pick('user_id', ['MR1', 'MR2'])} as Terminbuch, {pick(d.div('user_id', 2), day)} as Wochentag,
+      from (select distinct {pick('user_id', ['MR1', 'MR2'], d.duck)} as Terminbuch, {pick(d.div('user_id', 2), day, d.duck)} as Wochentag,
         case when event_id % 2 = 0 then '15.01.2024' end as gueltig_bis,
         case when event_id % 2 = 1 then '16.01.2024' end as gueltig_von,
         {start} as t from events) r"""
@@ -137,8 +138,8 @@ def slot_sql(d: Dialect) -> str:
            when o_orderstatus = 'O' then 'show' else 'inpatient' end as slot_type_detailed,
       case when o_orderstatus = 'F' then (case when o_orderkey % 3 = 0 then 'canceled' else 'rescheduled' end)
            else 'show' end as slot_outcome,
-      {pick('o_orderkey', ['MR1', 'MR2', 'MRDL'])} as EnteringOrganisationDeviceID,
-      {pick('o_custkey', SERVICES)} as UniversalServiceName,
+      {pick('o_orderkey', ['MR1', 'MR2', 'MRDL'], d.duck)} as EnteringOrganisationDeviceID,
+      {pick('o_custkey', SERVICES, d.duck)} as UniversalServiceName,
       cast(20 + o_custkey % 70 as bigint) as age, o_totalprice as price, o_orderpriority as priority
     from orders"""
 
@@ -167,7 +168,7 @@ def observation_sql(d: Dialect, status: str) -> str:
             f"ingest_seq, EnteringOrganisationDeviceID as machine")
     kind_before = ("case History_OrderStatus when 't' then 'ter' when 'a' then 'ter' when 'b' then 'anm' "
                    "else 'bef' end")
-    kind_after = pick("ingest_seq", ["bef", "unt", "ter", "schr"])
+    kind_after = pick("ingest_seq", ["bef", "unt", "ter", "schr"], d.duck)
     recorded_after = d.plus_days(day, next_day)
     return f"""select {base}, {kind_before} as type,
         {d.fmt('cast(History_MessageDtTm as date)', '%d.%m.%Y', 'dd.MM.yyyy')} as date_recorded from {status}

@@ -21,8 +21,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
-HOT_MIN_ROWS = 1_000_000
+HOT_MIN_ROWS = 2_000_000   # a group of this size is an ordinary task
+CHUNK_ROWS = 1_000_000
+SMALLEST_SHARE = 1e-5
 MAX_CHUNKS = 4096
 
 
@@ -51,18 +52,24 @@ def _key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("\u001f", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS,
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, min_rows: int = HOT_MIN_ROWS,
              at_most: int | None = None) -> list[str]:
-    """Key texts that may hold more than ``share`` of the rows: never more than 2/share of them.
+    """Texts of the keys with more than ``min_rows`` rows; at most rows/min_rows of them exist.
 
-    One pass without a shuffle of the keys (frequent-items sketch, which never misses a
-    frequent key); tables too small to hurt are not scanned at all. ``at_most`` is a row
-    count the table is known not to exceed, it saves counting.
+    A frequent-items sketch finds candidates in one pass without shuffling the keys; it
+    never misses a frequent one and keeps 1/share counters. The candidates are then
+    counted exactly. Tables that are too small to hurt are not scanned at all;
+    ``at_most`` is a row count the table is known not to exceed and saves counting.
     """
-    if (df.count() if at_most is None else at_most) <= min_rows:
+    if at_most is not None and at_most <= min_rows:
         return []
-    row = df.select(_key_text(keys).alias("k")).stat.freqItems(["k"], share).first()
-    return sorted(row[0])
+    total = df.count()
+    if total <= min_rows:
+        return []
+    text = df.select(_key_text(keys).alias("k"))
+    found = text.stat.freqItems(["k"], share or max(min_rows / total, SMALLEST_SHARE)).first()[0]
+    counted = text.filter(F.col("k").isin(found)).groupBy("k").count().filter(F.col("count") > min_rows)
+    return sorted(r["k"] for r in counted.collect())
 
 
 @dataclass(frozen=True)
@@ -84,8 +91,8 @@ class HotChunks:
         return out.withColumn(chunk_column(self.keys), F.when(is_hot, number)).drop(tmp, tmp + "_b")
 
 
-def find_hot_chunks(df: DataFrame, keys: Sequence[str], by: str, share: float = HOT_SHARE,
-                    min_rows: int = HOT_MIN_ROWS, rows_per_chunk: int = HOT_MIN_ROWS,
+def find_hot_chunks(df: DataFrame, keys: Sequence[str], by: str, share: float | None = None,
+                    min_rows: int = HOT_MIN_ROWS, rows_per_chunk: int = CHUNK_ROWS,
                     at_most: int | None = None) -> HotChunks | None:
     """Hot keys and chunk borders of ``df``, or None when no key is large enough to matter."""
     hot = hot_keys(df, keys, share, min_rows, at_most)
@@ -299,7 +306,7 @@ def with_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 
 
 def with_random_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: int, name: str = "random_rank",
-                     rows: int | None = None, rows_per_chunk: int = HOT_MIN_ROWS) -> DataFrame:
+                     rows: int | None = None, rows_per_chunk: int = CHUNK_ROWS) -> DataFrame:
     """Add each row's 0-based place in a seeded random order of its key group.
 
     The order is that of a hash of ``keys`` and ``identity``, so every group has its own

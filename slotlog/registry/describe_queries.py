@@ -71,7 +71,7 @@ def _(spark, sf):
     return describe.positive_rate(finished(spark, sf), "NoShow", "priority")
 
 
-@query("appt_len_by_type", select(f"""{V}, l as (select {C.pick('AccessionNumber', C.SERVICES)} as UniversalServiceName,
+@query("appt_len_by_type", select(f"""{V}, l as (select {C.pick('AccessionNumber', C.SERVICES, True)} as UniversalServiceName,
   date_diff('microsecond', image_start, image_end) / 60e6 as len from v)""", """UniversalServiceName, count(*) as n,
   round(avg(len), 6) as mean, round(min(len), 6) as min, round(max(len), 6) as max, round(quantile_cont(len, 0.25), 6) as q1,
   round(quantile_cont(len, 0.5), 6) as median, round(quantile_cont(len, 0.75), 6) as q3""", "l",

@@ -104,31 +104,33 @@ def _(spark, sf):
 
 
 @query("modality_cascade", f"""select p_partkey, {cascade('n', K.MODALITY_RULES, "'other'")} as modality from
-  (select p_partkey, {C.pick('p_partkey', C.SERVICES)} || ' ' || p_name as n from part) p""")
+  (select p_partkey, {C.pick('p_partkey', C.SERVICES, True)} || ' ' || p_name as n from part) p""")
 def _(spark, sf):
     df = C.table(spark, sf, "part").select(
         "p_partkey", F.expr(f"{C.pick('p_partkey', C.SERVICES)} || ' ' || p_name").alias("UniversalServiceName"))
     return features.add_modality(df).select("p_partkey", "modality")
 
 
-_JOB = "coalesce(" + C.pick("p_partkey", C.JOBS) + ", p_name)"
+def _job(duck: bool) -> str:
+    return f"coalesce({C.pick('p_partkey', C.JOBS, duck)}, p_name)"
 
 
 @query("occupation_cascade", f"""select p_partkey, {cascade('n', K.OCCUPATION_RULES,
   "case when n is null or n in ('nan', '-') then 'none_given' else 'other' end")} as occupation from
-  (select p_partkey, {_JOB} as n from part) p""")
+  (select p_partkey, {_job(True)} as n from part) p""")
 def _(spark, sf):
-    df = C.table(spark, sf, "part").select("p_partkey", F.expr(_JOB).alias("Beruf"))
+    df = C.table(spark, sf, "part").select("p_partkey", F.expr(_job(False)).alias("Beruf"))
     return features.add_occupation(df).select("p_partkey", "occupation")
 
 
-_DOC_REASON = f"case when doc_id % 3 = 0 then {C.pick('doc_id', C.REASONS)} else text end"
+def _doc_reason(duck: bool) -> str:
+    return f"case when doc_id % 3 = 0 then {C.pick('doc_id', C.REASONS, duck)} else text end"
 
 
 @query("reason_cascade", f"""select doc_id, reason, {_RANK} as reason_rank from (select doc_id, {_REASON} as reason from
-  (select doc_id, {_DOC_REASON} as ReasonForStudy from documents) d) e""")
+  (select doc_id, {_doc_reason(True)} as ReasonForStudy from documents) d) e""")
 def _(spark, sf):
-    df = C.table(spark, sf, "documents").select("doc_id", F.expr(_DOC_REASON).alias("ReasonForStudy"))
+    df = C.table(spark, sf, "documents").select("doc_id", F.expr(_doc_reason(False)).alias("ReasonForStudy"))
     out = features.add_reason(df)
     return out.select("doc_id", "reason", text.reason_rank(F.col("reason")).alias("reason_rank"))
 
