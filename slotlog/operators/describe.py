@@ -12,6 +12,7 @@ from slotlog import constants as K
 from slotlog.functions import rules
 from slotlog.functions.dates import minutes_between
 from slotlog.operators import ordered
+from slotlog.session import cut_lineage
 
 
 def _missed() -> Column:
@@ -105,7 +106,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     c = F.col
     present = df.filter(c(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = ordered.split_hot_keys(counts, keys, value, at_most=present.count())
+    rows = present.count()
+    if rows > ordered.HOT_MIN_ROWS:
+        counts = cut_lineage(counts, "counts")
+    counts = ordered.split_hot_keys(counts, keys, value, at_most=rows)
     counts = ordered.with_ordered(counts, keys, [value],
                                   {"below": ordered.sum_before(c("n")), "total": ordered.key_sum(c("n"))})
     covers = lambda i: (i >= c("below")) & (i < c("below") + c("n"))

@@ -18,6 +18,7 @@ from slotlog.functions import rules
 from slotlog.functions.dates import weekday_name
 from slotlog.operators import ordered
 from slotlog.operators.describe import exact_quantiles
+from slotlog.session import cut_lineage
 
 MODEL = "model"
 
@@ -129,22 +130,31 @@ def score_table(df: DataFrame) -> DataFrame:
     return df.groupBy(MODEL, "score").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def cumulative(df: DataFrame) -> DataFrame:
+def cumulative(df: DataFrame, totals: dict[str, Column] | None = None) -> DataFrame:
     """Distinct scores of (model, label, score) rows with the counts above each and the totals per model.
 
-    The rows are counted before they are grouped, which costs no scoring; only a large
-    table is looked at for models whose scores need chunks.
+    ``totals`` adds further sums per model over the rows of the score table. A large table
+    is written once before its scores are cut into chunks, so that scoring does not run again.
     """
     c = F.col
     rows = df.count()
     t = score_table(df).withColumn("falling", -c("score"))
+    if rows > ordered.HOT_MIN_ROWS:
+        t = cut_lineage(t, "scores")
     t = ordered.split_hot_keys(t, [MODEL], "falling", at_most=rows)
     return ordered.with_ordered(t, [MODEL], ["falling"], {
         "pos_above": ordered.sum_before(c("pos")), "neg_above": ordered.sum_before(c("neg")),
         "pos_all": ordered.key_sum(c("pos")), "neg_all": ordered.key_sum(c("neg")),
+        **{n: ordered.key_sum(e) for n, e in (totals or {}).items()},
     }).drop("falling", ordered.chunk_column([MODEL]))
 
 
+def squared_error() -> Column:
+    """Sum of squared errors of one row of the score table."""
+    c = F.col
+    return c("pos") * (c("score") - 1) * (c("score") - 1) + c("neg") * c("score") * c("score")
+
+
 def curve_points(cum: DataFrame) -> DataFrame:
     """Precision, recall and false-positive rate at every distinct threshold, with the point before it.
 
@@ -204,7 +214,7 @@ def classification_metrics(df: DataFrame, cutoff: float = 0.5) -> DataFrame:
     points = curve_points(cum)
     return points.groupBy(MODEL).agg(
         macro_f1(s(above, "pos"), s(above, "neg"), s(~above, "pos"), s(~above, "neg")).alias("f1_macro"),
-        (F.sum(c("pos") * (c("score") - 1) * (c("score") - 1) + c("neg") * c("score") * c("score")) / n).alias("brier_score"),
+        (F.sum(squared_error()) / n).alias("brier_score"),
         F.sum((c("recall") - c("recall_before")) * (c("precision") + c("precision_before")) / 2).alias("auprc"),
         F.sum((c("fpr") - c("fpr_before")) * (c("recall") + c("recall_before")) / 2).alias("auroc"),
         (F.sum(-(c("pos") * F.log(q) + c("neg") * F.log(F.lit(1.0) - q))) / n).alias("log_loss"))
@@ -229,9 +239,7 @@ def evaluation_table(df: DataFrame, steps: int = 10) -> DataFrame:
     strictly greater. Ranks are looked up in the running counts, not in a sorted list.
     """
     c = F.col
-    cum = cumulative(df).withColumn("n", c("pos_all") + c("neg_all"))
-    brier = F.sum(c("pos") * (c("score") - 1) * (c("score") - 1) + c("neg") * c("score") * c("score"))
-    per_model = cum.groupBy(MODEL).agg((brier / F.max("n")).alias("brier_loss"))
+    cum = cumulative(df, {"squared": squared_error()}).withColumn("n", c("pos_all") + c("neg_all"))
     before = c("pos_above") + c("neg_above")
     ranks = F.array(*[
         F.struct(F.lit(i).alias("step"),
@@ -245,15 +253,14 @@ def evaluation_table(df: DataFrame, steps: int = 10) -> DataFrame:
     tp, fp, fn, tn = c("tp"), c("fp"), c("fn"), c("tn")
     share = (tp + fp) / c("n")
     weekly = F.lit(float(K.APPOINTMENTS_PER_WEEK)) * share
-    out = t.join(per_model, MODEL)
     rounded = {
-        "f1_macro": macro_f1(tp, fp, fn, tn), "brier_loss": c("brier_loss"), "tpr": tp / z(tp + fn), "tnr": tn / z(tn + fp),
+        "f1_macro": macro_f1(tp, fp, fn, tn), "brier_loss": c("squared") / c("n"), "tpr": tp / z(tp + fn), "tnr": tn / z(tn + fp),
         "ppv": tp / z(tp + fp), "npv": tn / z(tn + fn), "fpr": fp / z(fp + tn), "fnr": fn / z(tp + fn),
         "fdr": fp / z(tp + fp), "acc": (tp + tn) / c("n"),
     }
     # Scaled and rounded half to even, as the published tables were.
     to = lambda e, scale: F.rint(e * scale) / F.lit(float(scale))
-    return out.select(
+    return t.select(
         MODEL, c("step").cast("long").alias("step"), to(c("score"), 1000).alias("cutoff"),
         *[to(v, 1000).alias(k) for k, v in rounded.items()],
         (tp + fp).alias("predicted_no_shows"), c("pos_all").alias("actual_no_shows"), c("n").alias("total_appts"),

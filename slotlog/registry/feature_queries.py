@@ -14,7 +14,8 @@ from slotlog.plans import feature_jobs as jobs, live_jobs
 from slotlog.registry import query
 from slotlog.registry.sql import (RANGE, S, SLOT_ROWS, SLOTS, STATUS, add_bd, cascade, case_map, in_list, last_cols, select,
                                   sub_bd)
-from slotlog.registry.status_queries import ID, IDS, log, slot_table
+from slotlog.registry.status_queries import ID, IDS, log
+from slotlog.session import cut_lineage
 
 F_SLOTS = f"f as ({C.slot_sql(C.DUCK)})"
 
@@ -368,7 +369,8 @@ tr as (select tr0.* exclude (NoShow), coalesce(sl.NoShow, false) as NoShow,
 def _(spark, sf):
     raw = C.status(spark, sf).withColumn("MRNCmpdId", text.strip_suffix(F.col("MRNCmpdId")))
     chunks = jobs.find_log_chunks(raw, "History_MessageDtTm", "History_ObsStartPlanDtTm")
-    return jobs.training_data(log(spark, sf), RANGE, C.post_codes(spark, sf), C.SITE_POST_CODE, chunks=chunks).select(
+    # The job reads the log three times, so it is stored first, as in a daily run.
+    return jobs.training_data(cut_lineage(log(spark, sf), "status"), RANGE, C.post_codes(spark, sf), C.SITE_POST_CODE, chunks=chunks).select(
         "snapshot", "slot_outcome", "slot_type_detailed", "slot_type", *FEATURE_OUT, *features.HISTORY_COLUMNS)
 
 

@@ -110,7 +110,7 @@ def test_images_and_machine_days(spark, monkeypatch):
     used = []
 
     def eager(df, keys, by, **kw):
-        out = real(df, keys, by, **{**kw, "share": 0.01, "min_rows": 10, "rows_per_chunk": 5})
+        out = real(df, keys, by, **{**kw, "share": 0.01, "min_rows": 3, "rows_per_chunk": 2})
         used.append(ordered.chunk_column(keys) in out.columns)
         return out
 
