@@ -149,8 +149,7 @@ def latest_per_slot(df: DataFrame, order: str = "file") -> DataFrame:
 def prepare_intervention(df: DataFrame, actuals: DataFrame, feedback: DataFrame) -> DataFrame:
     """Called and control slots with outcome and feedback, one row per slot."""
     keys = ["FillerOrderNo", "start_time"]
-    newest = actuals.agg(F.max("start_time").alias("newest"))
-    out = df.drop("NoShow").join(F.broadcast(newest), F.col("start_time") < F.col("newest")).drop("newest")
+    out = df.drop("NoShow").filter(F.col("start_time") < actuals.agg(F.max("start_time")).scalar())
     out = out.join(actuals.select(*keys, "NoShow"), keys, "left").join(feedback.select(*keys, "feedback"), keys, "left")
     out = out.filter(~rules.holds(F.col("feedback").isin(K.FEEDBACK_IGNORED)))
     out = out.withColumns({

@@ -55,9 +55,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def distances(post_codes: DataFrame, site: str) -> DataFrame:
     """Distance of every postal centroid to the site's."""
-    here = post_codes.filter(F.col("post_code") == site).select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
-    # One row by construction: a key of the dimension is selected.
-    return post_codes.join(F.broadcast(here.limit(1)), F.lit(True), "inner").select(
+    here = post_codes.filter(F.col("post_code") == site)
+    lat, lon = (here.agg(F.max(c)).scalar() for c in ("lat", "lon"))
+    return post_codes.withColumns({"lat0": lat, "lon0": lon}).select(
         "post_code", haversine_km(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")).alias("distance_to_usz"))
 
 

@@ -76,12 +76,10 @@ def new_rows(df: DataFrame, history: DataFrame, keys: Sequence[str] = ("FillerOr
 
 def attach_late_outcome(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     """Predictions with outcomes so far; rows newer than the newest outcome wait."""
-    newest = actuals.agg(F.max("start_time").alias("newest"))
     known = actuals.select("start_time", "MRNCmpdId", "NoShow")
     out = predictions.drop("NoShow").join(known, ["start_time", "MRNCmpdId"], "left")
     out = out.withColumn("NoShow", F.coalesce("NoShow", F.lit(False)))
-    # One row by construction.
-    return out.join(F.broadcast(newest), F.col("start_time") <= F.col("newest")).drop("newest")
+    return out.filter(F.col("start_time") <= actuals.agg(F.max("start_time")).scalar())
 
 
 def score_batch(df: DataFrame, models: Mapping[str, Transformer]) -> DataFrame:

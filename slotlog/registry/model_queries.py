@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml import Pipeline
@@ -110,13 +111,12 @@ def _(spark, sf):
 def _(spark, sf):
     df = scored(spark, sf)
     # The groups are the two line states; each is held out once.
-    out = None
+    parts = []
     for v in ("F", "O"):
-        train, test = scoring.leave_one_group_out(df, "l_linestatus", v)
-        one = test.agg(F.lit(v).alias("held_out"), F.count(F.lit(1)).alias("test_rows")).join(
-            train.agg(F.count(F.lit(1)).alias("train_rows")))
-        out = one if out is None else out.unionByName(one)
-    return out
+        for is_test, rows in enumerate(scoring.leave_one_group_out(df, "l_linestatus", v)):
+            parts.append(rows.select(F.lit(v).alias("held_out"), F.lit(is_test).alias("is_test")))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("held_out").agg(
+        F.count_if(F.col("is_test") == 1).alias("test_rows"), F.count_if(F.col("is_test") == 0).alias("train_rows"))
 
 
 # ---------------------------------------------------------------- metrics
