@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotlog import constants as K
 from slotlog.functions import dates, rules, text
-from slotlog.operators import ordered, slots, status
+from slotlog.operators import ordered, slots
 
 EARTH_RADIUS_KM = 6371.009
 HISTORY_COLUMNS = ["no_show_before", "no_show_before_sq", "appts_before", "show_before", "no_show_rate"]

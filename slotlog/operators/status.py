@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotlog import constants as K
 from slotlog.functions import rules, text
-from slotlog.functions.dates import as_date, busday_count, days_ahead
+from slotlog.functions.dates import busday_count, days_ahead
 from slotlog.operators import cleaning, ordered
 
 KEY = ["FillerOrderNo"]

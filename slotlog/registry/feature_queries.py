@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from slotlog import carriers as C
 from slotlog import constants as K
-from slotlog.functions import dates, text
+from slotlog.functions import text
 from slotlog.operators import cleaning, features, ordered, scoring, slots, status
 from slotlog.plans import feature_jobs as jobs, live_jobs
 from slotlog.registry import query
-from slotlog.registry.sql import (RANGE, S, SLOT_ROWS, SLOTS, STATUS, add_bd, cascade, case_map, in_list, last_cols, select,
-                                  sub_bd)
+from slotlog.registry.sql import (RANGE, S, SLOT_ROWS, SLOTS, STATUS, add_bd, cascade, case_map, last_cols,
+                                  select)
 from slotlog.registry.status_queries import ID, IDS, log
 from slotlog.session import cut_lineage
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from slotlog import carriers as C
 from slotlog import constants as K
 from slotlog.functions.dates import image_clock
-from slotlog.operators import cleaning, features, images, ordered, slots, utilisation
+from slotlog.operators import cleaning, features, images, ordered, utilisation
 from slotlog.plans import machine_jobs
 from slotlog.registry import query
 from slotlog.registry.sql import SLOTS, in_list, select
