@@ -61,3 +61,28 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
     step = max(1, int(rows * most / max(most, batch.column(column).nbytes)))
     for at in range(0, rows, step):
         yield batch.slice(at, min(step, rows - at))
+
+
+def sampled(rows: DataFrame, max_rows: int) -> DataFrame:
+    """All rows if they are ``max_rows`` at most, else about that many, chosen by a hash of ``doc_id``.
+
+    The choice depends on the ids alone, not on order or partitions.
+    """
+    n = rows.select("doc_id").count()
+    if n <= max_rows:
+        return rows
+    space = 1 << 30
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(space)) < int(space * max_rows / n))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int):
+    """A pandas frame (text, label) of about ``max_rows`` labelled rows at most, none of them held out, in order of id.
+
+    The labels are narrowed down first, so the broadcast side has a bounded number of ids and numbers.
+    A document with several labels gets the largest, one with several rows its smallest text.
+    """
+    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
+    marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = sampled(marks.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows)
+    found = id_text(docs).join(F.broadcast(marks), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").select("text", "label").toPandas()

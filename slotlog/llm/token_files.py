@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,25 +43,24 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts = Table(lambda part: None)
+        self.parts = Table(lambda part: None, most=200_000)
 
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, parts: set[str]) -> dict[str, list[int] | None]:
+    def learn(self, parts: set[str]) -> dict[str, bytes | None]:
         known, old = self.parts, self.parts.old
         values = {p: known[p] if p in known else old[p] for p in parts if p in known or p in old}
-        new = [p for p in parts if p not in values]
         plain = []
-        for p in new:
-            body = p[1:] if p[0:1] in ("\n", "\0") else p
+        for p in parts - values.keys():
+            body = p[1:] if p[:1] in ("\n", "\0") else p
             if not body or body[0].isspace() or body[-1].isspace() or "\0" in body:
                 values[p] = None
             else:
                 plain.append(p)
         asked = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in plain]
         for p, e in zip(plain, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            values[p] = e.ids
+            values[p] = packed(e.ids)
         for p, v in values.items():
             if p not in known and len(p) <= 64:
                 if len(known) >= known.most:
@@ -69,22 +69,21 @@ class LibraryEncoder:
                 known[p] = v
         return values
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [("\0" + t).replace("\n", " \n").split(" ") if not any(s in t for s in self.special) else None for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers, one after the other."""
+        cut = [None if any(s in t for s in self.special) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
         values = self.learn(set().union(*(c for c in cut if c is not None)))
         out = []
         for text, parts in zip(texts, cut, strict=True):
-            if text == "":
-                out.append([])
-                continue
             found = None if parts is None else [values[p] for p in parts]
-            if found is None or None in found:
-                out.append(self.whole(text))
-            else:
-                out.append([i for ids in found for i in ids])
+            out.append(self.whole(text) if found is None or None in found else b"".join(found))
         return out
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 _encoders: dict[str, LibraryEncoder] = {}
 
 
@@ -103,16 +102,13 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0, shards: in
     def run(batches):
         from pyspark import TaskContext
 
-        shard, start = TaskContext.get().partitionId(), 0
+        shard, start, end = TaskContext.get().partitionId(), 0, packed([end_id])
         for batch in batches:
             for part in slices(batch, 1):
                 ids = encoder(tokenizer).encode(part.column(1).to_pylist())
-                sizes = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
+                sizes = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(sizes)
-                flat = np.empty(int(ends[-1]), np.int32)
-                for x, a, b in zip(ids, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    flat[a:b - 1] = x
-                    flat[b - 1] = end_id
+                flat = np.frombuffer(end.join([*ids, b""]), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), shard, np.int32)), part.column(0), pa.array(start + ends - sizes), pa.array(sizes), lists],
