@@ -86,3 +86,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     marks = sampled(marks.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows)
     found = id_text(docs).join(F.broadcast(marks), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").select("text", "label").toPandas()
+
+
+#: A side of ids or of groups is broadcast only up to so many rows of a few dozen bytes.
+BROADCAST_ROWS = 200_000
+#: A group with at least this share of all rows is hot; there are at most 1 / share of them.
+HOT_SHARE = 1e-3
+
+
+def only_ids(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose id is in column ``name`` of ``wanted``.
+
+    The ids are counted: up to ``BROADCAST_ROWS`` they are broadcast and no text is shuffled, beyond that both sides are.
+    """
+    from slotlog.session import cut_lineage
+
+    ids = cut_lineage(wanted.select(F.col(name).alias("doc_id")), "wanted-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``size`` is the number of rows of a group.
+
+    Rows of a hot group would all meet in one task of a shuffle. As there is a bounded number of hot groups,
+    those are joined by broadcast, and only the rest is shuffled.
+    """
+    hot = F.col(size) >= max(1000, int(rows.count() * HOT_SHARE))
+    large = groups.filter(hot)
+    return rows.join(F.broadcast(large), key).unionByName(
+        rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.filter(~hot), key))
+
+
+def keep_texts(docs: DataFrame, accepted: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts ``accepted`` says yes to; one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(accepted([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (a column of ``gone`` by the expression over ``docs`` that must equal it) are not in ``gone``.
+
+    ``gone`` is stored and counted: up to ``BROADCAST_ROWS`` rows it is broadcast and no text is shuffled, beyond that both sides are.
+    """
+    from slotlog.session import cut_lineage
+
+    names = {k: f"__gone_{i}" for i, k in enumerate(keys)}
+    gone = cut_lineage(gone.select(*(F.col(k).alias(n) for k, n in names.items())).distinct(), "gone")
+    on = [expr.eqNullSafe(gone[names[k]]) for k, expr in keys.items()]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, condition, "left_anti")

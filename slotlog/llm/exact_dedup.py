@@ -44,8 +44,9 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text of every row."""
-    return id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    """doc_id, the SHA-256 of the normalised text and a hash of the text as it is, of every row."""
+    return id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
+                                                  F.xxhash64("text").alias("text_hash"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def same_bytes(matches: DataFrame, old_docs: DataFrame, new_docs: DataFrame) ->
 def decisions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Which row of each text stays, for a snapshot ``old`` and a batch ``new``, both doc_id and text.
 
-    doc_id, keep_id (smallest id of the same text), group_size, kept and text_sha256 for every row of both.
+    doc_id, keep_id (smallest id of the same text), group_size, kept, text_sha256 and text_hash (of the text as it is) for every row of both.
     """
     spark = old.sparkSession
     rows = cut_lineage(digests(old).withColumn("is_new", F.lit(False)).unionByName(digests(new).withColumn("is_new", F.lit(True))), "exact-digests")
@@ -164,7 +165,7 @@ def _decisions(spark: SparkSession, rows: DataFrame, old: DataFrame, new: DataFr
     rest = (rows.join(F.broadcast(renamed.filter(hot).select("d", "n")), on, "left_anti").join(renamed.filter(~hot), on))
     return large.unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), "text_hash")
 
 
 def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotlog.llm.common import held_out, id_text, per_document, sampled, slices
+from slotlog.llm.common import held_out, id_text, keep_texts, per_document, sampled, slices
 
 PROFILE = 300
 MARK = ord("_")
@@ -125,3 +125,14 @@ def predict(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", tex
 
     plain = id_text(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     return per_document(plain, "lang_pred string, score double", make, keep=("doc_id", "held_out"))
+
+
+def keep(docs: DataFrame, profiles: pd.DataFrame, min_score: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a score of at least ``min_score``."""
+    model = Profiles(profiles)
+
+    def accepted(texts: list[str]) -> list[bool]:
+        found = [model.predict(t) for t in texts]
+        return [lang != "und" and score >= min_score for lang, score in found]
+
+    return keep_texts(docs, accepted, text_col)
