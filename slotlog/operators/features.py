@@ -140,9 +140,10 @@ def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Seq
     """A patient's earlier appointments and no-shows, not counting the row itself.
 
     Slots are expected once per patient, appointment and start. ``history``
-    adds earlier slots that are not part of ``df``; rows in both count once.
+    adds earlier slots that are not part of ``df``; rows in both count once. A history
+    that has the ``per`` columns belongs to their groups, as ``df`` does.
     """
-    keys = ["MRNCmpdId", "FillerOrderNo", "start_time", "NoShow"]
+    keys = [*(p for p in per if history is not None and p in history.columns), "MRNCmpdId", "FillerOrderNo", "start_time", "NoShow"]
     base = df.drop(*HISTORY_COLUMNS)
     if history is not None:
         old = history.select(*keys).distinct().join(base.select(*keys).distinct(), keys, "left_anti")

@@ -110,9 +110,9 @@ def _(spark, sf):
                                      "train_rows", "p", "group by 1"))
 def _(spark, sf):
     df = scored(spark, sf)
-    # The groups are the two line states; each is held out once.
+    # Each value of the group column is held out once; as many plans as groups, so the column is one of few values.
     parts = []
-    for v in ("F", "O"):
+    for v in [r[0] for r in df.select("l_linestatus").distinct().orderBy("l_linestatus").collect()]:
         for is_test, rows in enumerate(scoring.leave_one_group_out(df, "l_linestatus", v)):
             parts.append(rows.select(F.lit(v).alias("held_out"), F.lit(is_test).alias("is_test")))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("held_out").agg(

@@ -101,11 +101,50 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_distinct(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Append rows whose key is not in the table yet. Old files stay untouched; nothing is rewritten."""
-    keys = list(keys)
-    fresh = new.dropDuplicates(keys)
+#: Partition column of tables that are appended to: the month of a row as text.
+MONTH = "part_month"
+
+
+def with_month(df: DataFrame, time: str) -> DataFrame:
+    return df.withColumn(MONTH, F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("none")))
+
+
+def rows_of_months(spark: SparkSession, path: str, new: DataFrame) -> DataFrame | None:
+    """What a table partitioned by month holds of the months in ``new``; other partitions are not read.
+
+    The months come to the driver: one short text for each calendar month of a batch.
+    """
     old = table_or_none(spark, path)
+    if old is None:
+        return None
+    months = [r[0] for r in new.select(MONTH).distinct().collect()]
+    return old.withColumn(MONTH, F.col(MONTH).cast("string")).filter(F.col(MONTH).isin(months))
+
+
+def append_distinct(spark: SparkSession, path: str, new: DataFrame, time: str) -> None:
+    """Append rows that the table does not hold yet, whole rows compared, nulls being equal to nulls.
+
+    The table is partitioned by the month of column ``time`` and only the months of ``new`` are read. A row with a
+    known key and other content is a row of its own. Old files stay untouched, and a repeated batch adds nothing.
+    """
+    fresh = with_month(new, time).distinct()
+    old = rows_of_months(spark, path, fresh)
+    if old is not None:
+        fresh = fresh.exceptAll(old.select(*fresh.columns).distinct())
+    fresh.write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def append_first(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], time: str, order: Sequence[str]) -> None:
+    """Append one row for each key that the table does not hold yet: the first in order of ``order``.
+
+    ``time`` is one of the keys; only its months are read. No row is ever too late.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    ordered = [*order, *(c for c in rest if c not in order)]
+    picked = new.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("first")).select(*keys, *(F.col(f"first.{c}").alias(c) for c in rest))
+    fresh = with_month(picked, time)
+    old = rows_of_months(spark, path, fresh)
     if old is not None:
-        fresh = fresh.join(old.select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+        same = [fresh[k].eqNullSafe(old[k]) for k in [*keys, MONTH]]
+        fresh = fresh.join(old, reduce(lambda a, b: a & b, same), "left_anti")
+    fresh.write.mode("append").partitionBy(MONTH).parquet(path)

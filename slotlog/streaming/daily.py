@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from slotlog.functions.dates import minutes_between
 from slotlog.operators import features
 from slotlog.plans import live_jobs
+from slotlog.session import cut_lineage
 from slotlog.sources import files as sources
 
 
@@ -42,15 +43,12 @@ def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
             .foreachBatch(handle).start())
 
 
-OUTCOME_KEY = ["FillerOrderNo", "MRNCmpdId", "start_time", "file"]
-
-
 def outcomes(stream: DataFrame, table: str, checkpoint: str, reasons: DataFrame | None = None) -> StreamingQuery:
     """Outcome files to slots, appended to the table of actual outcomes."""
 
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        sources.append_distinct(spark, table, live_jobs.outcome_slots(batch, reasons), OUTCOME_KEY)
+        sources.append_distinct(spark, table, live_jobs.outcome_slots(batch, reasons), "start_time")
 
     return run_batches(stream, checkpoint, handle)
 
@@ -60,40 +58,68 @@ def scores(stream: DataFrame, table: str, checkpoint: str, models: Mapping[str,
            actuals: str | None = None) -> StreamingQuery:
     """Planning files to scored features, appended to the prediction table.
 
-    A later file may count on what an earlier one brought, so the stream should hand
-    over one file per batch. Earlier predictions with a known outcome join the history.
+    The files of a batch are taken one after the other in the order of the date in their name, each
+    counted against the history alone: earlier slots, and predictions of earlier files whose outcome is in
+    ``actuals`` by then. So the rows do not depend on how many files come in a batch, as long as
+    batches come in that order too. Features of all files of a batch are computed together.
     """
 
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keys = ["MRNCmpdId", "FillerOrderNo", "start_time", "NoShow"]
-        past = history.select(*keys)
-        done = sources.table_or_none(spark, table)
+        new = cut_lineage(live_jobs.live_features(batch, post_codes, site, reasons, live=True), "file-features")
+        patients = new.select("MRNCmpdId").distinct()
+        earlier = cut_lineage(history.select(*keys).join(patients, "MRNCmpdId", "left_semi"), "file-history")
         known = sources.table_or_none(spark, actuals) if actuals else None
-        if done is not None and known is not None:
-            past = past.unionByName(live_jobs.attach_late_outcome(done, known).select(*keys))
-        new = live_jobs.live_features(batch, post_codes, site, reasons, live=True)
-        new = features.add_no_show_before(new, live_jobs.new_rows(past, new))
-        scored = live_jobs.score_batch(new, models)
-        sources.append_distinct(spark, table, scored, ["FillerOrderNo", "start_time", "source_file"])
+        if known is None:
+            # No file can tell another one anything: each is held against its own patients' history, all in one job.
+            past = earlier.join(new.select("source_file", "MRNCmpdId").distinct(), "MRNCmpdId")
+            store(spark, new, past, ["FillerOrderNo", "start_time", "source_file"])
+            return
+        names = sources.parse_file_name(new.select("source_file").distinct()).orderBy("file_date", "source_file")
+        for name in [r.source_file for r in names.select("source_file").collect()]:  # one row per daily file
+            past = earlier
+            done = sources.table_or_none(spark, table)
+            if done is not None:
+                past = past.unionByName(live_jobs.attach_late_outcome(done, known).select(*keys))
+            store(spark, new.filter(F.col("source_file") == name), past, ["FillerOrderNo", "start_time"])
+
+    def store(spark: SparkSession, own: DataFrame, past: DataFrame, same: Sequence[str]) -> None:
+        counted = features.add_no_show_before(own, live_jobs.new_rows(past, own, same), per=["source_file"] if "source_file" in past.columns else ())
+        sources.append_distinct(spark, table, live_jobs.score_batch(live_jobs.new_rows(counted, past, same), models), "start_time")
 
     return run_batches(stream, checkpoint, handle)
 
 
-def dedup_actuals(stream: DataFrame, keys: Sequence[str], time: str = "start_time", delay: str = "30 days") -> DataFrame:
-    """One row per key of a stream of outcomes; state older than the delay is dropped.
+def dedup_actuals(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], time: str = "start_time",
+                  order: Sequence[str] = ()) -> StreamingQuery:
+    """One row per key of a stream of outcomes, merged into a table by month; the first one in ``order`` of the first batch stays.
 
-    The bound on the state is a choice of this engine: copies further apart than
-    ``delay`` would pass.
+    No watermark: a row that comes late, or after one that lies far ahead, is held against the
+    table's rows of its own month like any other, and there is no state that grows.
     """
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return run_batches(stream, checkpoint,
+                       lambda batch, _: sources.append_first(batch.sparkSession, table, batch, list(keys), time, order))
 
 
-def daily_active(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Active minutes per device and day, kept up to date while intervals arrive."""
+def active_by_day(intervals: DataFrame) -> DataFrame:
+    """Active minutes and appointments per device and day."""
     active = minutes_between(F.col("image_start"), F.col("image_end"))
-    timed = stream.withColumns({"at": F.col("image_start").cast("timestamp"), "minutes": active})
-    out = timed.withWatermark("at", delay).groupBy(F.window("at", "1 day"), "image_device_id").agg(
-        F.sum("minutes").alias("active_minutes"), F.count(F.lit(1)).alias("appointments"))
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("date"), "image_device_id", "active_minutes",
-                      "appointments")
+    timed = intervals.withColumns({"date": F.date_trunc("day", F.col("image_start")).cast("timestamp_ntz"), "minutes": active})
+    return timed.groupBy("date", "image_device_id").agg(F.sum("minutes").alias("active_minutes"),
+                                                        F.count(F.lit(1)).alias("appointments"))
+
+
+def daily_active(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Partial sums per device and day of each batch, written to a folder of the batch's own.
+
+    A batch that is repeated replaces its own folder. Late days are sums like any other; ``daily_totals`` adds them up.
+    """
+    return run_batches(stream, checkpoint,
+                       lambda batch, epoch: active_by_day(batch).write.mode("overwrite").parquet(f"{table}/epoch={epoch}"))
+
+
+def daily_totals(spark: SparkSession, table: str) -> DataFrame:
+    """Active minutes and appointments per device and day over all batches so far."""
+    return spark.read.parquet(table).groupBy("date", "image_device_id").agg(
+        F.sum("active_minutes").alias("active_minutes"), F.sum("appointments").alias("appointments"))

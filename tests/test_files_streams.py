@@ -42,13 +42,48 @@ def test_unreadable_file_name_has_no_date(spark):
     assert [r[0] for r in files.parse_file_name(df).select("file_date").collect()] == [None, None]
 
 
-def test_append_is_idempotent(spark, tmp_path):
+def test_append_keeps_changed_rows_and_drops_copies(spark, tmp_path):
     path = str(tmp_path / "t")
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
+    schema = "k long, v string, at timestamp_ntz"
+    df = spark.createDataFrame([(1, "a", day(0)), (2, "b", day(1)), (2, "b", day(1)), (4, None, None)], schema)
     for _ in range(2):
-        files.append_distinct(spark, path, df, ["k"])
-    files.append_distinct(spark, path, spark.createDataFrame([(2, "z"), (3, "c")], "k long, v string"), ["k"])
-    assert records(spark.read.parquet(path), ["k", "v"]) == [(1, "a"), (2, "b"), (3, "c")]
+        files.append_distinct(spark, path, df, "at")
+    files.append_distinct(spark, path, spark.createDataFrame([(2, "z", day(1)), (3, "c", day(1)), (2, "b", day(1))], schema), "at")
+    assert records(spark.read.parquet(path), ["k", "v"]) == [(1, "a"), (2, "b"), (2, "z"), (3, "c"), (4, None)]
+    plan = files.rows_of_months(spark, path, files.with_month(df, "at"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "part_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def feed(spark, folder, schema, *batches):
+    """One file per batch, to be taken one by one in this order."""
+    import os
+    import time
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for name in os.listdir(folder):  # file times are the order of arrival
+            path = os.path.join(folder, name)
+            if name.startswith("part") and os.path.getmtime(path) > time.time() - 86_400:
+                os.utime(path, (time.time() - 200_000 + 1000 * i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_no_outcome_comes_too_late(spark, tmp_path):
+    far = day(6 * 365)
+    stream = feed(spark, tmp_path / "in", "k long, start_time timestamp_ntz, v string",
+                  [(1, day(0), "a"), (2, far, "b")], [(3, day(1), "c"), (1, day(0), "later copy")], [(4, day(0), "d"), (2, far, "x"), (4, day(0), "c")])
+    table = str(tmp_path / "out")
+    daily.dedup_actuals(stream, table, str(tmp_path / "ledger"), ["k", "start_time"], order=["v"]).awaitTermination()
+    assert records(spark.read.parquet(table), ["k", "v"]) == [(1, "a"), (2, "b"), (3, "c"), (4, "c")]
+
+
+def test_no_day_comes_too_late(spark, tmp_path):
+    schema = "image_device_id int, image_start timestamp_ntz, image_end timestamp_ntz"
+    one = lambda n: (1, day(n), day(n, 9, 30))
+    stream = feed(spark, tmp_path / "in", schema, [one(9)], [one(4), one(9)], [one(5)])
+    daily.daily_active(stream, str(tmp_path / "out"), str(tmp_path / "ledger")).awaitTermination()
+    assert records(daily.daily_totals(spark, str(tmp_path / "out")), ["date", "active_minutes", "appointments"]) == [
+        (day(4, 0), 30.0, 1), (day(5, 0), 30.0, 1), (day(9, 0), 60.0, 2)]
 
 
 def test_work_dir_follows_the_session(spark):
@@ -143,6 +178,43 @@ def test_score_stream(spark, tmp_path):
     assert spark.read.parquet(table).filter("prediction_lr > 0 and prediction_lr < 1").count() == 2
 
 
+# file, appointment, no-shows and appointments before
+SCORED = [
+    ("out_08_01_2019.csv", 70, 1, 1), ("out_08_01_2019.csv", 71, 0, 1), ("out_08_01_2019.csv", 72, 1, 2),
+    ("out_09_01_2019.csv", 80, 2, 3), ("out_09_01_2019.csv", 81, 0, 2), ("out_09_01_2019.csv", 82, 2, 4),
+    ("out_10_01_2019.csv", 90, 2, 5), ("out_10_01_2019.csv", 91, 0, 2), ("out_10_01_2019.csv", 92, 2, 7),
+    ("out_11_01_2019.csv", 100, 2, 7), ("out_11_01_2019.csv", 102, 2, 8),
+]
+
+
+@pytest.mark.parametrize("feedback", [True, False])
+@pytest.mark.parametrize("max_files", [1, 3, None])
+def test_scores_do_not_depend_on_the_batches(spark, tmp_path, max_files, feedback):
+    src = tmp_path / "out"
+    src.mkdir()
+    history = spark.createDataFrame([("7", 90, day(-9), True), ("8", 91, day(-8), False), ("7", 92, day(9), False)],
+                                    "MRNCmpdId string, FillerOrderNo long, start_time timestamp_ntz, NoShow boolean")
+    training = features.add_no_show_before(history).withColumn("label", F.col("NoShow").cast("int"))
+    model = M.train(training, M.feature_stages(["no_show_before"]), M.logistic(strength=0.1, max_iter=3))
+    actuals = str(tmp_path / "actuals")
+    spark.createDataFrame([("7", day(7), True), ("8", day(9), False)], "MRNCmpdId string, start_time timestamp_ntz, NoShow boolean").write.parquet(actuals)
+    for i, n in enumerate([7, 8, 9, 10]):
+        rows = [(10 * n + k, p, day(0), "scheduled", day(n + k % 2, 9 + k)) for k, p in enumerate("787")]
+        live_file(src / f"out_{n + 1:02d}_01_2019.csv", rows, "scheduled")
+        os.utime(src / f"out_{n + 1:02d}_01_2019.csv", (1_600_000_000 + i * 100,) * 2)
+    stream = daily.read_files(spark, str(src), SCHEMA, max_files=max_files)
+    table = str(tmp_path / "predictions")
+    daily.scores(stream, table, str(tmp_path / "ledger"), {"lr": model}, history, post_codes(spark), "8091",
+                 actuals=actuals if feedback else None).awaitTermination()
+    got = records(spark.read.parquet(table), ["source_file", "FillerOrderNo", "no_show_before", "appts_before"])
+    if not feedback:  # then only the history and the file's own earlier slots count
+        late = {90: (1, 1), 92: (1, 3), 100: (1, 2), 102: (1, 3)}
+        assert got == [(f, n, *late.get(n, (int(n % 10 != 1), 2 if n % 10 == 2 else 1))) for f, n, _, _ in SCORED]
+        return
+    # Only the history, outcomes of earlier files up to the newest known one, and the file's own earlier slots count.
+    assert got == SCORED
+
+
 def test_late_outcomes_are_held_back(spark):
     preds = spark.createDataFrame([(i, "7", day(i), False) for i in range(4)],
                                   "FillerOrderNo long, MRNCmpdId string, start_time timestamp_ntz, NoShow boolean")
@@ -154,10 +226,9 @@ def test_daily_active_stream(spark, tmp_path):
     schema = "image_device_id int, image_start timestamp_ntz, image_end timestamp_ntz"
     spark.createDataFrame([(1, day(0), day(0, 10)), (1, day(0, 12), day(0, 12, 30)), (2, day(1), day(1, 9, 15))], schema).write.parquet(
         str(tmp_path / "in"))
-    out = daily.daily_active(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = out.writeStream.outputMode("complete").format("memory").queryName("active").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert records(spark.table("active"), ["date", "image_device_id", "active_minutes", "appointments"]) == [
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    daily.daily_active(stream, str(tmp_path / "out"), str(tmp_path / "ledger")).awaitTermination()
+    assert records(daily.daily_totals(spark, str(tmp_path / "out")), ["date", "image_device_id", "active_minutes", "appointments"]) == [
         (day(0, 0), 1, 90.0, 2), (day(1, 0), 2, 15.0, 1)]
 
 
