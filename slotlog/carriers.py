@@ -118,7 +118,7 @@ def raster_sql(d: Dialect) -> str:
     """R: opening-hours raster, one row per bookable time; two validity periods per device and weekday."""
     minutes = "480 + (event_id % 17) * 30"
     start = d.shift("date '2024-01-01'", "minute", minutes)
-    day = {"duck": ["MO", "DI", "MI", "DO", "FR"]}["duck"]
+    day = ["MO", "DI", "MI", "DO", "FR"]
     return f"""select Terminbuch, Wochentag, Terminbuch || ' ' || Wochentag as TERMINRASTER_NAME,
         gueltig_von, gueltig_bis, {d.fmt('t', '%H:%M', 'HH:mm')} as Termin, 30 as dauer_min
       from (select distinct {pick('user_id', ['MR1', 'MR2'], d.duck)} as Terminbuch, {pick(d.div('user_id', 2), day, d.duck)} as Wochentag,

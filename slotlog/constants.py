@@ -43,6 +43,7 @@ RAW_TEXT_COLUMNS = [
 ]
 END_OF_TIME_TEXT = "9000-01-01 00:00:00.0000000"
 MAX_YEAR = 2100
+YEAR_PATTERN = r".*([1-3][0-9]{3})"
 
 INSURANCE_CLASS = {"A": "general", "P": "private", "HP": "half private"}
 MARITAL = {

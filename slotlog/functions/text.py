@@ -38,7 +38,7 @@ def strip_suffix(c: Column, suffix: str = K.PATIENT_ID_SUFFIX) -> Column:
 
 def clamp_year(c: Column) -> Column:
     """Date text with a year beyond the limit gets the limit; the end-of-time mark becomes null."""
-    year = F.regexp_extract(c, r".*([1-3][0-9]{3})", 1)
+    year = F.regexp_extract(c, K.YEAR_PATTERN, 1)
     return (
         F.when(c == K.END_OF_TIME_TEXT, F.lit(None).cast("string"))
         .when((year != "") & (year.try_cast("int") > K.MAX_YEAR), F.replace(c, year, F.lit(str(K.MAX_YEAR))))

@@ -12,8 +12,6 @@ from slotlog import constants as K
 from slotlog.functions import rules, text
 from slotlog.functions.dates import is_weekday
 
-BROADCAST_IDS = 1_000_000
-
 
 def cast_datetime_columns(df: DataFrame, known: Sequence[str] = (), clamp: bool = False) -> DataFrame:
     """Turn every text column named as a date-time, and the listed ones, into timestamps.

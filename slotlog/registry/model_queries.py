@@ -18,6 +18,7 @@ from slotlog.registry import query
 from slotlog.registry.describe_queries import P
 from slotlog.registry.feature_queries import F_SLOTS, finished
 from slotlog.registry.sql import select
+from slotlog.session import work_dir
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 MODELS = {"a": "score", "b": "score_b"}
@@ -271,7 +272,7 @@ def _fit(spark, sf, estimator):
 
 @query("train_logistic")
 def _(spark, sf):
-    return _fit(spark, sf, M.logistic(max_iter=20))
+    return _fit(spark, sf, M.logistic())
 
 
 @query("train_random_forest")
@@ -291,8 +292,8 @@ def _(spark, sf):
 
 @query("cross_validate")
 def _(spark, sf):
-    df = scoring.assign_folds(training(spark, sf), "label", ROW, 3)
-    table, _ = M.cross_validate(df, stages(), M.logistic(max_iter=10), 3)
+    df = scoring.assign_folds(training(spark, sf), "label", ROW, 5)
+    table, _ = M.cross_validate(df, stages(), M.logistic(), 5)
     return table
 
 
@@ -309,7 +310,9 @@ def _(spark, sf):
     df = training(spark, sf)
     models = {"logistic": M.train(df, stages(), M.logistic(max_iter=10)),
               "forest": M.train(df, stages(), M.random_forest(trees=5, depth=4, features="auto"))}
-    return live_jobs.score_batch(df, models).select("l_orderkey", "l_linenumber", "prediction_logistic", "prediction_forest")
+    folder = work_dir(spark, "models")
+    M.save_models(models, folder)
+    return live_jobs.score_batch(df, M.load_models(list(models), folder)).select("l_orderkey", "l_linenumber", "prediction_logistic", "prediction_forest")
 
 
 @query("permutation_importance")
