@@ -15,8 +15,8 @@ import regex
 # Fixed value: the pattern that byte-level vocabularies of this kind split text by.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: Entries a worker keeps of one kind, twice: those used lately and those before them. About 120 MB in all.
-CACHE_ROWS = 300_000
+#: Entries a worker keeps of one kind, twice: those used lately and those before them. About 60 MB in all.
+CACHE_ROWS = 150_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -97,7 +97,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", max_rows: int = 20_000, id_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):  # a character makes three numbers, which are sorted
                 found: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found.setdefault(lang, []).append(grams(text))
