@@ -53,7 +53,7 @@ def per_document(df: DataFrame, schema: str, make: Callable[[], Callable[[list[s
     return df.select(*keep, "text").mapInArrow(run, out)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of text, so that long texts do not pile up as Python objects."""
     rows = batch.num_rows
     if not rows:
@@ -61,6 +61,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
     step = max(1, int(rows * most / max(most, batch.column(column).nbytes)))
     for at in range(0, rows, step):
         yield batch.slice(at, min(step, rows - at))
+    pa.default_memory_pool().release_unused()  # workers live on after their task; what they keep counts against the executor
 
 
 def sampled(rows: DataFrame, max_rows: int) -> DataFrame:

@@ -61,7 +61,7 @@ def _word_hash(token: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if word else 0
 
 
-_words = Table(_word_hash, most=200_000)
+_words = Table(_word_hash, most=60_000)
 
 
 def spread(h: np.ndarray) -> np.ndarray:
