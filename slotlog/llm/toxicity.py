@@ -49,14 +49,14 @@ class Model:
     constant: float
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 0.15, min_docs: int = 3, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 0.15, min_docs: int = 3, seed: int = 7) -> Model:
     """Embeddings and softmax from whole texts and 0/1 labels."""
     labels = np.asarray(labels, np.int64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(ROWS, np.float32), prior)
-    table = Table(lambda w: np.array(subwords(w), np.int64))
+    table = Table(lambda w: np.array(subwords(w), np.int32), most=80_000)
     rows, weights = [], []
     for text in texts:
         words = text.split()
@@ -67,17 +67,18 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
         bags = [(b, n) for b, n in bags if len(b)]
         if bags:
             ids = np.concatenate([b for b, _ in bags])
-            part = np.concatenate([np.full(len(b), n / len(b), np.float32) for b, n in bags]) * np.float32(SCALE / len(words))
+            sizes = np.array([len(b) for b, _ in bags])
+            part = np.repeat(np.array([n for _, n in bags]) / sizes * (SCALE / len(words)), sizes)
             uniq, inverse = np.unique(ids, return_inverse=True)
-            rows.append(uniq)
+            rows.append(uniq.astype(np.int32))
             weights.append(np.bincount(inverse, part).astype(np.float32))
         else:
-            rows.append(np.zeros(1, np.int64))
+            rows.append(np.zeros(1, np.int32))
             weights.append(np.zeros(1, np.float32))
     # Rows of very few documents can't be told from noise; they add nothing, nor do rows that no document has.
-    spread = np.bincount(np.concatenate(rows), minlength=ROWS) >= min_docs
+    spread = sum(np.bincount(r, minlength=ROWS) for r in rows) >= min_docs
     kept = [spread[r] for r in rows]
-    rows, weights = ([np.append(r[k], 0) for r, k in zip(rows, kept, strict=True)],
+    rows, weights = ([np.append(r[k], np.int32(0)) for r, k in zip(rows, kept, strict=True)],
                      [np.append(w[k], np.float32(0)) for w, k in zip(weights, kept, strict=True)])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (ROWS, dim)).astype(np.float32)
@@ -122,7 +123,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 12_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8_000) -> Model:
     """Model from at most about ``max_rows`` labelled rows that are not held out, chosen by a hash of their id."""
     pdf: pd.DataFrame = labelled_sample(docs, labels, label_col, max_rows)
     return train(pdf["text"].tolist(), pdf["label"].to_numpy())
