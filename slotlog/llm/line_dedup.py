@@ -84,26 +84,52 @@ def digest(line: str) -> bytes:
 PLACE = "doc_id long, doc_hash long, line_no int"
 
 
+def half_keys(lines: list[str]) -> np.ndarray:
+    """Keys of each line without each half, as the shorter and as the longer of a pair; one row of four per line.
+
+    The running sums go over all lines at once; a line's own sum is the difference of two of them.
+    """
+    a = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    stop = np.cumsum(n)
+    start = stop - n
+    place = np.arange(1, len(a) + 1) - np.repeat(start, n)
+    left = np.concatenate([np.zeros(1, U), np.cumsum(mixed(a * M1 + place.astype(U)))])
+    right = np.concatenate([np.zeros(1, U), np.cumsum(mixed(a * M2 + (np.repeat(n, n) + 1 - place).astype(U)))])
+    out = np.empty((len(lines), 4), U)
+    for i, short in enumerate((np.maximum(n - 1, 0), n)):
+        half = short // 2
+        front = left[start + half] - left[start]
+        back = right[stop] - right[stop - (short - half)]
+        out[:, 2 * i] = mixed(mixed(back + U(7)) + short.astype(U) * M1)
+        out[:, 2 * i + 1] = mixed(mixed(front + U(11)) + short.astype(U) * M1 + M2)
+    return out.view(np.int64)
+
+
+HALVES = ["h0", "h1", "h2", "h3"]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """One row per line that is not blank: its digest, its place and, for a line that can have near ones, four half-line keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
-                keys, ids, hashes, numbers, halves = [], [], [], [], []
-                for d, h, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                lines, rows, numbers = [], [], []
+                for row, text in enumerate(part.column(2).to_pylist()):
                     for i, line in enumerate(text.split("\n")):
                         if line and not line.isspace():
-                            keys.append(digest(line))
-                            ids.append(d)
-                            hashes.append(h)
+                            lines.append(line)
+                            rows.append(row)
                             numbers.append(i)
-                            halves.append(block_keys(*sums(line), len(line), 2) if len(line) >= SHORTEST - 1 else None)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()),
-                                                  pa.array(numbers, pa.int32()), pa.array(halves, pa.list_(pa.int64()))],
-                                                 names=["line_key", "doc_id", "doc_hash", "line_no", "halves"])
+                keys = half_keys(lines)
+                short = np.fromiter((len(x) < SHORTEST - 1 for x in lines), bool, len(lines))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(map(digest, lines), pa.binary()), part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
+                     *(pa.array(keys[:, k], mask=short) for k in range(4))], names=["line_key", "doc_id", "doc_hash", "line_no", *HALVES])
 
-    return docs.mapInArrow(run, f"line_key binary, {PLACE}, halves array<long>")
+    return docs.mapInArrow(run, f"line_key binary, {PLACE}, " + ", ".join(f"{h} long" for h in HALVES))
 
 
 def shared_keys(lines: DataFrame, keys: str) -> DataFrame:
@@ -202,8 +228,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = plain.select("doc_id", "doc_hash", "text")
     rows = cut_lineage(occurrences(keyed), "line-places")
     lines = rows.groupBy("line_key").agg(F.min(F.struct("doc_id", "doc_hash", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"),
-                                         F.first("halves").alias("halves"))
-    lines = cut_lineage(lines, "line-distinct")
+                                         *(F.max(h).alias(h) for h in HALVES))
+    lines = cut_lineage(lines.withColumn("halves", F.when(F.col("h0").isNotNull(), F.array(*HALVES))).drop(*HALVES), "line-distinct")
     near = cut_lineage(near_lines(keyed, lines).withColumn("near", F.lit(True)), "line-near")
     touched = lines.select("line_key", "first", "n").join(near, "line_key", "left").filter("n > 1 or near")
     touched = cut_lineage(touched.withColumn("near", F.coalesce("near", F.lit(False))), "line-touched")
