@@ -7,7 +7,7 @@ ids skips files, stripes and row groups by their metadata. One range is one file
 document's place is the number of ids of all shards before its own, plus those before it in the
 shard; only the first is joined at reading, from one row per shard.
 
-Defined results: a null or empty text has just the end id; repeated ids lie beside each other, ordered by text;
+Defined results: a null or empty text has just the end id; repeated ids lie beside each other, ordered by a hash of the text;
 a null id sorts first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,19 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotlog.llm.bpe import Table
 from slotlog.llm.common import id_text, slices
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
 
+class Kept(dict):
+    """Ids of parts as bytes, None for a part that must not be cut there; parts too long to keep are in ``long`` for a while."""
+
+    def __init__(self):
+        super().__init__()
+        self.old, self.long = {}, {}
+
+    def __missing__(self, part):
+        return self.long[part]
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them; parts of texts recur, so the library is asked once for each new part.
 
     Texts are cut only at single blanks and line feeds between other characters, where the library's
     own splitting ends a pre-token in any case. Any other text goes to the library as a whole.
+    Parts are kept in two generations, so memory stays bounded whatever the texts hold.
     """
 
+    MOST = 300_000
+    #: Parts that the library is asked for at once; its answers are large objects.
+    ASK = 10_000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -43,47 +58,64 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts = Table(lambda part: None, most=200_000)
+        self.blank = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.blank[i] = token.startswith("Ġ")
+        self.kept = Kept()
 
     def whole(self, text: str) -> bytes:
-        return packed(self.library.encode(text, add_special_tokens=False).ids)
-
-    def learn(self, parts: set[str]) -> dict[str, bytes | None]:
-        known, old = self.parts, self.parts.old
-        values = {p: known[p] if p in known else old[p] for p in parts if p in known or p in old}
-        plain = []
-        for p in parts - values.keys():
-            body = p[1:] if p[:1] in ("\n", "\0") else p
-            if not body or body[0].isspace() or body[-1].isspace() or "\0" in body:
-                values[p] = None
-            else:
-                plain.append(p)
-        asked = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in plain]
-        for p, e in zip(plain, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            values[p] = packed(e.ids)
-        for p, v in values.items():
-            if p not in known and len(p) <= 64:
-                if len(known) >= known.most:
-                    known.old = dict(known)
-                    known.clear()
-                known[p] = v
-        return values
+        return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        """Make ``kept`` hold every one of ``parts``."""
+        kept = self.kept
+        kept.long = {}
+        new = parts.difference(kept)
+        back = new.intersection(kept.old)
+        values: dict[str, bytes | None] = {p: kept.old[p] for p in back}
+        new -= back
+        plain = [p for p in new if p and p.strip() is p and p[0] != "\0"]  # neither end is white space
+        asked = [" " + p for p in plain]
+        apart = []
+        if len(plain) < len(new):
+            for p in new.difference(plain):
+                body = p[1:]
+                if p[:1] == "\0" or p[:1] == "\n" and body and body.strip() is body:
+                    apart.append(p)
+                else:
+                    values[p] = None
+        for at in range(0, len(plain), self.ASK):
+            # All parts in one text: each begins with a blank and has no other, so an id that begins with a blank begins a part.
+            answer = self.library.encode_batch_fast(["".join(asked[at:at + self.ASK])], add_special_tokens=False)[0].ids
+            ids = np.fromiter(answer, np.int32, len(answer))
+            starts = (4 * np.flatnonzero(self.blank[ids])).tolist()
+            flat = ids.tobytes()
+            values.update(zip(plain[at:at + self.ASK], (flat[x:y] for x, y in zip(starts, [*starts[1:], len(flat)], strict=True)), strict=True))
+        for p in apart:
+            values[p] = self.whole(p.removeprefix("\0"))
+        kept.long = {p: v for p, v in values.items() if len(p) > 64}
+        for p in kept.long:
+            del values[p]
+        if len(kept) + len(values) > self.MOST:
+            # What this batch needs comes along; the rest becomes the old generation.
+            kept.old = dict(kept)
+            kept.clear()
+            kept.update((p, kept.old[p]) for p in parts.intersection(kept.old))
+        kept.update(values)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers, one after the other."""
-        cut = [None if any(s in t for s in self.special) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
-        values = self.learn(set().union(*(c for c in cut if c is not None)))
-        out = []
+        cut = [None if any(s in t for s in self.special) or "\0" in t else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
+        self.learn(set().union(*(c for c in cut if c is not None)))
+        out, ids_of = [], self.kept.__getitem__
         for text, parts in zip(texts, cut, strict=True):
-            found = None if parts is None else [values[p] for p in parts]
-            out.append(self.whole(text) if found is None or None in found else b"".join(found))
+            try:
+                out.append(self.whole(text) if parts is None else b"".join(map(ids_of, parts)))
+            except TypeError:  # a part that must not be cut there
+                out.append(self.whole(text))
         return out
 
 
-def packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
-
-
 _encoders: dict[str, LibraryEncoder] = {}
 
 
@@ -102,7 +134,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0, shards: in
     def run(batches):
         from pyspark import TaskContext
 
-        shard, start, end = TaskContext.get().partitionId(), 0, packed([end_id])
+        shard, start, end = TaskContext.get().partitionId(), 0, array("i", [end_id]).tobytes()
         for batch in batches:
             for part in slices(batch, 1):
                 ids = encoder(tokenizer).encode(part.column(1).to_pylist())
@@ -115,8 +147,9 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0, shards: in
                     names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
                 start += int(ends[-1])
 
-    (id_text(docs, id_col, text_col).repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(run, SCHEMA)
+    # The ranges are found from a sample of ids and hashes; texts only break ties inside a task.
+    (id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "text_hash")
+     .sortWithinPartitions("doc_id", "text_hash").select("doc_id", "text").mapInArrow(run, SCHEMA)
      .write.option("orc.create.index", "true").option("orc.row.index.stride", "5000").option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "zstd").orc(out))
 
