@@ -3,7 +3,9 @@
 A word is the bag of its character n-grams (three to five, with marks at both ends) and itself, each hashed to a row of an
 embedding table. A document is the average of its words' vectors and goes into a linear softmax over the two labels. Table and
 softmax are trained jointly in numpy by AdaGrad on the cross entropy. A misspelt word that was never seen shares most of its
-n-grams with the right one and so lands near it.
+n-grams with the right one and so lands near it. A token of more than ``LONG`` characters is no word but a text without blanks or a chain
+of words: it is cut at its punctuation, and what is still longer is read in stretches that overlap, so that each of
+its n-grams is counted and each stretch weighs as a word.
 
 As everything after the table is linear up to the softmax, one number per table row is all that scoring
 needs: the part the row adds to the log odds. Scoring is one pass over whole texts without a shuffle.
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,43 @@ from slotlog.llm.common import held_out, id_text, labelled_sample, per_document
 ROWS = 1 << 17
 #: Averages are small numbers when one word in fifty tells the label; a fixed factor brings them to the order of one.
 SCALE = 100.0
+#: Tokens of more characters are cut. A stretch of one starts every ``STRETCH`` characters and has the four after them as well.
+LONG = 40
+STRETCH = 20
+#: Marks that join words to a chain; those that stand for letters of a masked word (*, @, #, %, ! and ') do not.
+JOINTS = regex.compile(r"[[\p{P}<>=+|~]--[*@#%!']]+", regex.V1)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a whole text. A stretch of a longer token starts with a line feed, which no word has."""
+    words = text.split()
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= LONG:
+            out.append(word)
+            continue
+        for run in JOINTS.split(word.lower()):
+            if len(run) > LONG:
+                padded = f"<{run}>"
+                out.extend("\n" + padded[i:i + STRETCH + 4] for i in range(0, len(padded) - 4, STRETCH))
+            elif run:
+                out.append(run)
+    return out
 
 
 def subwords(token: str) -> list[int]:
-    """Table rows of a word of a text: itself and its n-grams, in lower case without the marks around it."""
+    """Table rows of a word of a text: itself and its n-grams, in lower case without the marks around it; of a stretch its n-grams."""
+    if token.startswith("\n"):
+        parts = {token[i:i + n] for n in (3, 4, 5) for i in range(1, len(token) - n + 1)}
+        return [crc32(p.encode("utf-8", "surrogatepass")) % ROWS for p in parts]
     word = token.lower().strip(".,;:!?\"'()[]{}*#$%&|-_")
     if not word:
         return []
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
     padded = f"<{word}>"
     parts = {padded[i:i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)} | {padded}
-    return [crc32(p.encode()) % ROWS for p in parts]
+    return [crc32(p.encode("utf-8", "surrogatepass")) % ROWS for p in parts]
 
 
 @dataclass(frozen=True)
@@ -59,7 +86,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 6, r
     table = Table(lambda w: np.array(subwords(w), np.int32), most=80_000)
     rows, weights = [], []
     for text in texts:
-        words = text.split()
+        words = words_of(text)
         counts: dict[str, int] = {}
         for w in words:
             counts[w] = counts.get(w, 0) + 1
@@ -118,14 +145,14 @@ class Scorer:
         self.words = Table(lambda w: sum(weights[i] for i in ids) / len(ids) if (ids := subwords(w)) else 0.0)
 
     def score(self, text: str) -> float:
-        words = text.split()
+        words = words_of(text)
         odds = self.constant + (sum(map(self.words.__getitem__, words)) / len(words) if words else 0.0)
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8_000) -> Model:
     """Model from at most about ``max_rows`` labelled rows that are not held out, chosen by a hash of their id."""
-    pdf: pd.DataFrame = labelled_sample(docs, labels, label_col, max_rows)
+    pdf = labelled_sample(docs, labels, label_col, max_rows)
     return train(pdf["text"].tolist(), pdf["label"].to_numpy())
 
 

@@ -255,6 +255,22 @@ def test_toxicity_shares_subwords_with_misspellings():
     assert scorer.score(clean) < 0.3 < scorer.score(clean + " grumbulli end") and scorer.score(clean + " vexattron end") > 0.3
 
 
+def test_toxicity_reads_long_tokens_whole():
+    rng = random.Random(3)
+    common = words(rng, 300)
+    texts = [" ".join(rng.choice(common) for _ in range(60)) + (" " + rng.choice(["grumbuli", "vexatron"]) + " end") * (i % 4 == 0) for i in range(600)]
+    scorer = toxicity.Scorer(toxicity.train(texts, np.array([i % 4 == 0 for i in range(600)])))
+    for joint in ("", "-", "_", "/", "、"):
+        clean = [rng.choice(common) for _ in range(60)]
+        toxic = [*clean[:30], "grumbuli", "end", *clean[30:]]
+        assert scorer.score(joint.join(clean)) < 0.3 < scorer.score(joint.join(toxic)), joint
+    # Every n-gram of a token is counted, and none that it has not.
+    for n in (41, 60, 61, 62, 63, 64, 65, 100, 1000):
+        token = "".join(rng.choice("abcdefgh") for _ in range(n))
+        got = {r for w in toxicity.words_of(token) for r in toxicity.subwords(w)}
+        assert got == {zlib.crc32(f"<{token}>"[i:i + k].encode()) % toxicity.ROWS for k in (3, 4, 5) for i in range(n + 3 - k)}
+
+
 @pytest.mark.parametrize("name", ["op2_toxicity", "op5_quality"])
 def test_classifier_queries(spark, name):
     labels = {r.doc_id: (r.toxic if "tox" in name else r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
