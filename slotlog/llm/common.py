@@ -76,9 +76,10 @@ def sampled(rows: DataFrame, max_rows: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(space)) < int(space * max_rows / n))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int):
-    """A pandas frame (text, label) of about ``max_rows`` labelled rows at most, none of them held out, in order of id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """doc_id, text and label of about ``max_rows`` labelled rows at most, none of them held out.
 
+    Texts may be of any length; what is to be learned from them is computed in tasks and then fetched by ``fetched``.
     The labels are narrowed down first, so the broadcast side has a bounded number of ids and numbers.
     A document with several labels gets the largest, one with several rows its smallest text.
     """
@@ -86,7 +87,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     marks = sampled(marks.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows)
     found = id_text(docs).join(F.broadcast(marks), "doc_id")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").select("text", "label").toPandas()
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def fetched(rows: DataFrame, name: str) -> list[tuple]:
+    """The rows in order of ``doc_id``, which comes first. They are stored and then read part by part, so the driver's JVM has one part at a time."""
+    from slotlog.session import cut_lineage
+
+    return sorted((tuple(r) for r in cut_lineage(rows, name).toLocalIterator()), key=lambda r: r[0])
 
 
 #: A side of ids or of groups is broadcast only up to so many rows of a few dozen bytes.

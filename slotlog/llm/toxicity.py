@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotlog.llm.bpe import Table
-from slotlog.llm.common import held_out, id_text, labelled_sample, per_document
+from slotlog.llm.common import fetched, held_out, id_text, labelled_sample, per_document
 
 ROWS = 1 << 17
 #: Averages are small numbers when one word in fifty tells the label; a fixed factor brings them to the order of one.
@@ -76,37 +76,48 @@ class Model:
     constant: float
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 0.15, min_docs: int = 3, seed: int = 7) -> Model:
+def word_rows() -> Table:
+    return Table(lambda w: np.array(subwords(w), np.int32), most=80_000)
+
+
+def bag(text: str, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of a whole text, each once, and their weights in its average."""
+    words = words_of(text)
+    counts: dict[str, int] = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    bags = [(table[w], n) for w, n in counts.items()]
+    bags = [(b, n) for b, n in bags if len(b)]
+    if not bags:
+        return np.zeros(1, np.int32), np.zeros(1, np.float32)
+    ids = np.concatenate([b for b, _ in bags])
+    sizes = np.array([len(b) for b, _ in bags])
+    part = np.repeat(np.array([n for _, n in bags]) / sizes * (SCALE / len(words)), sizes)
+    uniq, inverse = np.unique(ids, return_inverse=True)
+    return uniq.astype(np.int32), np.bincount(inverse, part).astype(np.float32)
+
+
+def train(texts: list[str], labels: np.ndarray, **settings) -> Model:
     """Embeddings and softmax from whole texts and 0/1 labels."""
+    table = word_rows()
+    return fit([bag(t, table) for t in texts], labels, **settings)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 0.15, min_docs: int = 3,
+        seed: int = 7) -> Model:
+    """Embeddings and softmax from the ``bag`` of each text and 0/1 labels. The list of bags is used up, so that it is not held twice."""
     labels = np.asarray(labels, np.int64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(ROWS, np.float32), prior)
-    table = Table(lambda w: np.array(subwords(w), np.int32), most=80_000)
-    rows, weights = [], []
-    for text in texts:
-        words = words_of(text)
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        bags = [(table[w], n) for w, n in counts.items()]
-        bags = [(b, n) for b, n in bags if len(b)]
-        if bags:
-            ids = np.concatenate([b for b, _ in bags])
-            sizes = np.array([len(b) for b, _ in bags])
-            part = np.repeat(np.array([n for _, n in bags]) / sizes * (SCALE / len(words)), sizes)
-            uniq, inverse = np.unique(ids, return_inverse=True)
-            rows.append(uniq.astype(np.int32))
-            weights.append(np.bincount(inverse, part).astype(np.float32))
-        else:
-            rows.append(np.zeros(1, np.int32))
-            weights.append(np.zeros(1, np.float32))
     # Rows of very few documents can't be told from noise; they add nothing, nor do rows that no document has.
-    spread = sum(np.bincount(r, minlength=ROWS) for r in rows) >= min_docs
-    kept = [spread[r] for r in rows]
-    rows, weights = ([np.append(r[k], np.int32(0)) for r, k in zip(rows, kept, strict=True)],
-                     [np.append(w[k], np.float32(0)) for w, k in zip(weights, kept, strict=True)])
+    spread = sum(np.bincount(r, minlength=ROWS) for r, _ in bags) >= min_docs
+    rows, weights = [], []
+    for i, (r, w) in enumerate(bags):
+        rows.append(np.append(r[spread[r]], np.int32(0)))
+        weights.append(np.append(w[spread[r]], np.float32(0)))
+        bags[i] = None
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (ROWS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
@@ -150,10 +161,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8_000) -> Model:
-    """Model from at most about ``max_rows`` labelled rows that are not held out, chosen by a hash of their id."""
-    pdf = labelled_sample(docs, labels, label_col, max_rows)
-    return train(pdf["text"].tolist(), pdf["label"].to_numpy())
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 12_000) -> Model:
+    """Model from at most about ``max_rows`` labelled rows that are not held out, chosen by a hash of their id.
+
+    Tasks turn each text into its bag, so no text comes to the driver.
+    """
+
+    def make():
+        table = word_rows()
+
+        def work(texts: list[str]):
+            found = [bag(t, table) for t in texts]
+            return [r.tobytes() for r, _ in found], [w.tobytes() for _, w in found]
+
+        return work
+
+    sample = labelled_sample(docs, labels, label_col, max_rows)
+    rows = fetched(per_document(sample, "rows binary, weights binary", make, keep=("doc_id", "label")), "toxicity-bags")
+    classes = np.array([y for _, y, _, _ in rows])
+    bags = [(np.frombuffer(r, np.int32), np.frombuffer(w, np.float32)) for _, _, r, w in rows]
+    del rows
+    return fit(bags, classes)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

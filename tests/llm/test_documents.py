@@ -1,5 +1,6 @@
 """Deduplication, similarity, leaks, classifiers and the pipeline against brute force and odd input."""
 
+import inspect
 import random
 import zlib
 from hashlib import sha256
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from slotlog.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, quality, queries, toxicity
-from slotlog.llm.common import sampled
+from slotlog.llm.common import fetched, labelled_sample, sampled
 from slotlog.llm.fuse_filter import FuseFilter
 
 SF = "/root/testdata/sf0.001"
@@ -293,6 +294,24 @@ def test_classifiers_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn(docs, bad)).count() == 0
 
 
+@pytest.mark.parametrize("module, column", [(toxicity, "toxic"), (quality, "quality")])
+def test_learning_fetches_no_texts(spark, monkeypatch, module, column):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    monkeypatch.setattr(module, "fetched", lambda rows, name: seen.append(rows.columns) or fetched(rows, name))
+    model = module.learn(docs, labels)
+    assert seen and all("text" not in c for c in seen)
+    pdf = labelled_sample(docs, labels, column, 12_000).orderBy("doc_id").toPandas()
+    rows = pdf["text"].tolist() if module is toxicity else np.stack([quality.features(t) for t in pdf["text"]])
+    assert np.array_equal(model.weights, module.train(rows, pdf["label"].to_numpy()).weights)
+
+
+def test_toxicity_settings():
+    """The bounds of the sample and of the training are not lowered to fit the driver."""
+    assert inspect.signature(toxicity.learn).parameters["max_rows"].default == 12_000
+    assert inspect.signature(toxicity.fit).parameters["epochs"].default == 8
+
+
 def test_sample_is_bounded_and_fixed(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in sampled(ids, 500).collect()}
