@@ -13,28 +13,52 @@ from slotlog.llm.common import without
 from slotlog.llm.queries import TOKENIZER, table
 from slotlog.session import cut_lineage
 
+#: A column of the stages' own; their output does not have it.
+ROW = "__row"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or far from every language's profile go. Profiles come from the rows that are not held out."""
     return language_id.keep(docs, language_id.learn(docs))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, stored so that it stays. Ids may be null or repeated, and a decision is about one row."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def all_but_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``groups`` (row key and ``group``) the rows but one of each group: that with the smallest id stays, one without an id only among such."""
+    placed = groups.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW)
+    placed = cut_lineage(placed, "pipeline-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW))
+    first = placed.groupBy("group").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return placed.join(first, ROW, "left_anti").select(ROW)
+
+
+def less(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return without(rows, gone, {ROW: rows[ROW]}).drop(ROW)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays."""
-    gone = exact_dedup.dedup_table(docs).filter("not kept").select("doc_id", "text_hash")
-    return without(docs, gone, {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    """Of rows with equal texts one with the smallest id stays."""
+    rows = with_row_key(docs)
+    copies = exact_dedup.dedup_table(rows, id_col=ROW).filter("group_size > 1")
+    return less(rows, all_but_first(rows, copies.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by word 5-gram sets with a similarity of 0.8 or more the one with the smallest id stays."""
-    gone = ngram_join.near_duplicates(docs).filter("class_id <> doc_id").select("doc_id")
-    return without(docs, gone, {"doc_id": docs["doc_id"].cast("long")})
+    """Of rows that hang together by word 5-gram sets with a similarity of 0.8 or more one with the smallest id stays."""
+    rows = with_row_key(docs)
+    classes = ngram_join.near_duplicates(rows, id_col=ROW)
+    return less(rows, all_but_first(rows, classes.select(F.col("doc_id").alias(ROW), F.col("class_id").alias("group"))))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a passage of the benchmark occurs go."""
-    gone = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return without(docs, gone, {"doc_id": docs["doc_id"].cast("long")})
+    """Rows in which a passage of the benchmark occurs go."""
+    rows = with_row_key(docs)
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return less(rows, leaks.select(F.col("doc_id").alias(ROW)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -348,6 +348,30 @@ def test_pipeline_stages(spark):
     assert all(r.decoded_sha256 == sha256(text[r.doc_id].encode()).hexdigest() for r in out.collect())
 
 
+def test_pipeline_decides_about_rows(spark):
+    """Null and repeated ids: only the rows that leak or repeat go, and one of each group stays."""
+    rng = random.Random(10)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    a, b, c, d = (" ".join(words(rng, 80)) for _ in range(4))
+    near = a.split(" ")
+    near[40] = "changed"
+    near = " ".join(near)
+
+    def stage(name, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        kept = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert kept.columns == ["doc_id", "text"]
+        return sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+
+    leak = f"{b} {item} {c}"
+    assert stage("decontamination", [(None, leak), (None, a), (7, leak), (7, c)]) == sorted([(None, a), (7, c)], key=str)
+    assert stage("exact_dedup", [(None, a), (None, a), (5, b), (5, b), (None, c), (9, c), (8, c), (5, d)]) == sorted(
+        [(None, a), (5, b), (8, c), (5, d)], key=str)
+    assert stage("ngram_jaccard_join", [(None, a), (None, near), (None, b), (6, near), (6, c), (4, d), (4, d)]) == sorted(
+        [(None, b), (6, near), (6, c), (4, d)], key=str)
+    assert [t for _, t in stage("ngram_jaccard_join", [(None, a), (None, a), (None, b)])] == sorted([a, b])
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
