@@ -1,7 +1,8 @@
 """Benchmark decontamination (3): q-gram lemma filtering and banded alignment.
 
-An item of the benchmark is cut into overlapping segments of up to ``SEGMENT`` characters (a shorter one is one segment). A document is
-contaminated if some segment occurs in it with at most ``rate`` edits per character. By the q-gram lemma such
+An item of the benchmark is cut into overlapping segments of two lengths (``GRIDS``); an item of no more characters than one length is one segment
+of it. A document is contaminated if some segment occurs in it with at most ``rate`` edits per character. As the short segments start
+every ten characters, a stretch of 69 characters out of any place of an item that is quoted within four edits holds one. By the q-gram lemma such
 an occurrence shares at least m - q + 1 - q e of the segment's q-grams, and all of them lie on at most e + 1 neighbouring
 diagonals (place in the text minus place in the segment). So shared q-grams are counted in diagonal bands of twice that
 width which overlap by half, only bands that meet the bound are kept, and the regions they point to are
@@ -12,7 +13,8 @@ Characters are compared after lower-casing, with every run of other characters t
 Documents are read once for each block of the benchmark, and a block has a bounded number of characters, so
 nothing that is sent to the executors grows with either table. There is no shuffle of texts.
 
-Defined results: a null or empty text matches nothing, nor does an item that has fewer than ``SHORTEST`` characters left; equal
+Defined results: a null or empty text matches nothing, nor does an item that has fewer than ``SHORTEST`` characters left
+(no q-gram; such an item is found in too many texts to tell a leak); equal
 items match each; repeated rows give repeated matches; an empty table on either side gives no matches; other columns are ignored.
 """
 
@@ -29,11 +31,14 @@ from slotlog.llm.common import id_text, slices
 from slotlog.session import cut_lineage
 
 Q = 10
-SEGMENT = 100
-STEP = 50
-SHORTEST = 40
-#: Characters of the benchmark that are held against the documents in one pass, about.
-BLOCK_CHARS = 1_000_000
+#: Length and step of the segments.
+GRIDS = ((100, 50), (60, 10))
+LONGEST = 100
+SHORTEST = Q
+#: Characters of the benchmark that are held against the documents in one pass, about; each is in some eight segments.
+BLOCK_CHARS = 250_000
+#: Alignments that are done at once.
+TOGETHER = 256
 
 U = np.uint64
 BITS = 22
@@ -67,11 +72,12 @@ def qgrams(a: np.ndarray) -> np.ndarray:
 
 
 def segments_of(a: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(start, code points) of overlapping segments; the last one ends with the item."""
-    if len(a) <= SEGMENT:
-        return [(0, a)]
-    starts = [*range(0, len(a) - SEGMENT, STEP), len(a) - SEGMENT]
-    return [(s, a[s:s + SEGMENT]) for s in dict.fromkeys(starts)]
+    """(start, code points) of overlapping segments; the last one of each length ends with the item."""
+    places = {}
+    for size, step in GRIDS:
+        last = max(0, len(a) - size)
+        places |= dict.fromkeys((s, min(len(a), s + size)) for s in [*range(0, last, step), last])
+    return [(s, a[s:e]) for s, e in places]
 
 
 class Index:
@@ -80,7 +86,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.segments = [(item, start, s) for item, text in items for start, s in segments_of(plain(text or "")) if len(s) >= SHORTEST]
         sizes = np.array([len(s) for _, _, s in self.segments], np.int64)
-        self.budget = (sizes * rate).astype(np.int64)
+        #: In a very short item more edits could leave no q-gram whole.
+        self.budget = np.minimum((sizes * rate).astype(np.int64), (sizes - Q) // Q)
         self.needed = np.maximum(1, sizes - Q + 1 - Q * self.budget)
         #: The bound can be met by chance where it is small; the alignment decides in any case.
         grams = [qgrams(s) for _, _, s in self.segments]
@@ -121,7 +128,7 @@ class Index:
         starts = np.cumsum(times) - times
         post = np.repeat(low - starts, times) + np.arange(times.sum())
         where, owner, place = np.repeat(at, times), self.owner[post], self.place[post]
-        key = owner * (1 << 40) + (where - place + SEGMENT) // self.half
+        key = owner * (1 << 40) + (where - place + LONGEST) // self.half
         order = np.argsort(key, kind="stable")
         key, where, place = key[order], where[order], place[order]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -134,65 +141,66 @@ class Index:
             a_, b_ = heads[i], stop[i]
             # A shared q-gram has a place of its own on either side, so repetition on one of them does not count.
             if min(distinct(where[a_:b_]), distinct(place[a_:b_])) >= needed[i]:
-                yield int(value[i] >> 40), int(value[i] & ((1 << 40) - 1)) * self.half - SEGMENT
+                yield int(value[i] >> 40), int(value[i] & ((1 << 40) - 1)) * self.half - LONGEST
 
     def matches(self, text: str) -> dict[int, tuple[int, int, int, int]]:
         """For each item that occurs: edits, start of the segment, start and end in the normalised text, of its best segment."""
         a = plain(text)
         data = a.tobytes()
         out: dict[int, tuple[int, int, int, int]] = {}
+        rest: dict[int, list[tuple[int, int]]] = {}
         for number, diagonal in self.regions(a):
             item, start, pattern = self.segments[number]
-            if item in out and out[item][0] == 0:
-                continue
-            e = int(self.budget[number])
             # The very segment needs no alignment.
             low = max(0, diagonal)
             at = data.find(pattern.tobytes(), 4 * low, 4 * max(low, diagonal + 2 * self.half + len(pattern)))
             if at >= 0 and at % 4 == 0:
-                found = (0, at // 4, at // 4 + len(pattern))
-            else:
-                found = banded(pattern, a, diagonal - e, 2 * self.half + 2 * e + 1)
-            if found is not None and found[0] <= e:
-                row = (found[0], start, found[1], found[2])
+                row = (0, start, at // 4, at // 4 + len(pattern))
                 out[item] = min(out.get(item, row), row)
+            else:
+                rest.setdefault(len(pattern), []).append((number, diagonal))
+        for regions in rest.values():
+            regions = [(n, d) for n, d in regions if (item := self.segments[n][0]) not in out or out[item][0] > 0]
+            for k in range(0, len(regions), TOGETHER):
+                part = regions[k:k + TOGETHER]
+                e = int(self.budget[part[0][0]])  # the same for one length
+                found = banded(np.stack([self.segments[n][2] for n, _ in part]), a, np.array([d - e for _, d in part]), 2 * self.half + 2 * e + 1)
+                for (n, _), (edits, first, last) in zip(part, found, strict=True):
+                    if edits <= e:
+                        item, start, _ = self.segments[n]
+                        row = (edits, start, first, last)
+                        out[item] = min(out.get(item, row), row)
         return out
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, lowest: int, width: int) -> tuple[int, int, int] | None:
-    """Fewest edits between the whole pattern and a stretch of the text, over the diagonals lowest .. lowest + width - 1.
+def banded(patterns: np.ndarray, text: np.ndarray, lowest: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Fewest edits between each whole pattern (all of one length) and a stretch of the text, over its diagonals lowest .. lowest + width - 1.
 
     Row i, column k is the cell of i pattern characters and i + lowest + k text characters. A cell's cost and the start of its
     stretch travel together in one number, cost first, so that the smaller number is the better cell.
     """
-    m, n = len(pattern), len(text)
+    m, n = patterns.shape[1], len(text)
     k = np.arange(width, dtype=np.int64)
     one = 1 << 40
     far = (m + n + 1) * one
-    end = lowest + k
+    end = lowest[:, None] + k
     cell = np.where((end >= 0) & (end <= n), end, far)
-    padded = np.full(width + m, 0xFFFFFFFF, np.uint32)  # the text characters before the cells of the first row on
-    a, b = max(0, lowest), min(n, lowest + len(padded))
-    if b <= a:
-        return None
-    padded[a - lowest:b - lowest] = text[a:b]
-    unequal = np.lib.stride_tricks.sliding_window_view(padded, width)[:m] != pattern[:, None]
+    at = lowest[:, None] + np.arange(width + m)  # the text characters before the cells of the first row on
+    padded = np.where((at >= 0) & (at < n), text[np.clip(at, 0, n - 1)], np.uint32(0xFFFFFFFF))
+    edges = bool((lowest < 0).any() or (lowest + m + width > n).any())
     slope = k * one
-    drop = np.empty(width, np.int64)
+    drop = np.full(cell.shape, far, np.int64)
     for i in range(m):
-        drop[:-1], drop[-1] = cell[1:], far
-        drop += one
-        cell = np.minimum(cell + unequal[i] * one, drop) - slope
+        drop[:, :-1] = cell[:, 1:] + one
+        cell = np.minimum(cell + (padded[:, i:i + width] != patterns[:, i:i + 1]) * one, drop) - slope
         # Insertions run along the row: the smallest cost less column number up to here.
-        cell = np.minimum.accumulate(cell) + slope
-        if lowest + i + 1 < 0:
-            cell[:min(width, -(lowest + i + 1))] = far
-        if lowest + i + width > n:
-            cell[max(0, n - lowest - i):] = far
-    at = int(np.argmin(cell >> 40))
-    if cell[at] >= far:
-        return None
-    return int(cell[at] >> 40), int(cell[at] & (one - 1)), int(lowest + m + at)
+        cell = np.minimum.accumulate(cell, axis=1) + slope
+        if edges:
+            end = lowest[:, None] + (i + 1) + k
+            cell[(end < 0) | (end > n)] = far
+    at = np.argmin(cell >> 40, axis=1)
+    best = cell[np.arange(len(cell)), at]
+    return [(int(c >> 40), int(c & (one - 1)), int(x)) for c, x in zip(best, lowest + m + at, strict=True)]
 
 
 def distinct(values: np.ndarray) -> int:

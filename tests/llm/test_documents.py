@@ -184,6 +184,27 @@ def test_leaks_with_blocks_and_empty_sides(spark, monkeypatch):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_quotes_from_any_place_of_an_item():
+    """Segments are cut here, not taken from the index: each stretch of 69 characters, verbatim and with edits, and short items whole."""
+    rng = random.Random(12)
+    long, short, tiny = " ".join(words(rng, 60)), " ".join(words(rng, 5))[:30].strip(), "abc def"
+    index = decontaminate.Index([(1, long), (2, short), (3, tiny)], 0.08)
+    noise = " ".join(words(rng, 40, "mnopqr"))
+    for start in range(len(long) - 69 + 1):
+        quote = long[start:start + 69]
+        assert index.matches(f"{noise}#{quote}#{noise}").get(1, (9,))[0] == 0, start
+        if start % 5 == 0:
+            edited = list(quote)
+            for at in rng.sample(range(69), 4):
+                edited[at] = rng.choice(["", "z", "z" + edited[at]])
+            found = index.matches(f"{noise}#{''.join(edited)}#{noise}")
+            assert found[1][0] <= 4, start
+    for size in (75, 92, 110, 132):
+        assert 1 in index.matches(noise + long[9:9 + size] + noise)
+    assert set(index.matches(f"{noise} {short} {noise}")) == {2} and index.matches(f"{noise} {tiny} {noise}") == {}
+    assert index.matches(noise) == index.matches("") == {}
+
+
 # ------------------------------------------------------------------ lines
 
 def one_edit(a, b):
