@@ -238,6 +238,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- models
 
 NUMERIC, CATEGORICAL = ["l_quantity", "l_extendedprice", "l_discount"], ["l_linestatus"]
+FEATURES = [*NUMERIC, *CATEGORICAL, "month"]
 
 
 def training(spark, sf):
@@ -287,7 +288,7 @@ def _(spark, sf):
 
 @query("train_mlp")
 def _(spark, sf):
-    return _fit(spark, sf, M.perceptron(7, 5, max_iter=20))
+    return _fit(spark, sf, M.perceptron(7, 5))
 
 
 @query("cross_validate")
@@ -308,7 +309,7 @@ def _(spark, sf):
 @query("score_batch")
 def _(spark, sf):
     df = training(spark, sf)
-    models = {"logistic": M.train(df, stages(), M.logistic(max_iter=10)),
+    models = {"logistic": M.train(df, stages(), M.logistic()),
               "forest": M.train(df, stages(), M.random_forest(trees=5, depth=4, features="auto"))}
     folder = work_dir(spark, "models")
     M.save_models(models, folder)
@@ -318,8 +319,8 @@ def _(spark, sf):
 @query("permutation_importance")
 def _(spark, sf):
     df = training(spark, sf)
-    model = M.train(df, stages(), M.logistic(max_iter=10))
-    return M.permutation_importance(model, df, ["l_quantity", "l_discount"], ROW, repeats=3)
+    model = M.train(df, stages(), M.logistic())
+    return M.permutation_importance(model, df, FEATURES, ROW)
 
 
 @query("custom_scalar_transform", select(P, """l_orderkey, l_linenumber, round(l_extendedprice::float::double, 6) as l_extendedprice,

@@ -78,7 +78,7 @@ MODEL_COLUMNS = ["age", "sched_days_advanced", "hour_sched", "no_show_before"]
 
 def _model(training):
     return M.train(training.withColumn("label", F.col("NoShow").cast("int")), M.feature_stages(MODEL_COLUMNS),
-                   M.logistic(max_iter=5))
+                   M.logistic())
 
 
 @query("stream_score_files")

@@ -165,3 +165,15 @@ def test_search_settings_differ():
 def test_balanced_weights(spark):
     df = M.balanced_weights(spark.createDataFrame([(1,), (0,), (0,), (0,)], "label int"))
     assert dict(df.distinct().collect()) == {1: 2.0, 0: pytest.approx(4 / 6)}
+
+
+def test_registered_importance_covers_all_features_and_repeats(spark, monkeypatch):
+    from slotlog import registry
+    from slotlog.registry import model_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q.M, "permutation_importance", lambda model, df, columns, identity, repeats=10: seen.append((columns, repeats)) or spark.range(1))
+    monkeypatch.setattr(Q.M, "train", lambda *a: None)
+    monkeypatch.setattr(Q, "training", lambda spark, sf: None)
+    registry.QUERIES["permutation_importance"](spark, "")
+    assert seen == [([*Q.NUMERIC, *Q.CATEGORICAL, "month"], 10)]
