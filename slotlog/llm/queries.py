@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlog.llm import (bpe_codec, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, quality, token_counts, token_files,
+from slotlog.llm import (bpe_codec, decontaminate, exact_dedup, language_id, line_dedup, merkle, ngram_join, quality, token_counts, token_files,
                          toxicity)
 from slotlog.session import work_dir
 
@@ -65,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
       select doc_id, count(*) as n_lines, count(*) filter (same_line) as n_same, count(*) filter (near_line and not same_line) as n_near,
         sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (not same_line and not near_line), '')) as text_sha256
       from marked group by doc_id""",
+    "op13_merkle_manifest": merkle.oracle(),
 }
