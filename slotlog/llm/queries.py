@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlog.llm import (bpe_codec, decontaminate, exact_dedup, language_id, line_dedup, merkle, ngram_join, quality, token_counts, token_files,
-                         toxicity)
+from slotlog.llm import (bpe_codec, decontaminate, exact_dedup, language_id, line_dedup, merkle, ngram_join, quality, ranked_search, token_counts,
+                         token_files, toxicity, url_filter)
 from slotlog.session import work_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: The rule list that the query's pages are judged by.
+URL_RULES = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"), url_filter.Rule("www.example.com", "/en/", "allow"),
+             url_filter.Rule("net", "/es/", "block"), url_filter.Rule("net", "/fr/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -80,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_url_filter": op12_url_filter,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -106,5 +121,7 @@ ORACLE_SQL: dict[str, str] = {
       select doc_id, count(*) as n_lines, count(*) filter (same_line) as n_same, count(*) filter (near_line and not same_line) as n_near,
         sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (not same_line and not near_line), '')) as text_sha256
       from marked group by doc_id""",
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_url_filter": url_filter.oracle(URL_RULES),
     "op13_merkle_manifest": merkle.oracle(),
 }
