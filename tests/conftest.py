@@ -14,7 +14,7 @@ CODE = {text: code for code, text in STATUS_TEXT.items()}
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("tests", master="local[8]", shuffle_partitions=4)
+    s = get_session("tests", master=os.environ.get("TEST_MASTER", "local[8]"), shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
