@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import regex
 
@@ -63,11 +62,6 @@ class Vocabulary:
             yield text[at:], None
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class Table(dict):
     """Values computed on first use, in two generations: when the young one is full, it takes the place of the old one.
 

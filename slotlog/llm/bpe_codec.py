@@ -18,8 +18,8 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from slotlog.llm.bpe import Parts, Table, Vocabulary, vocabulary
-from slotlog.llm.common import id_text, per_document
+from slotlog.llm.bpe import Parts, Table, Vocabulary
+from slotlog.llm.common import id_text, per_document, worker_tables
 
 
 def inner_pairs(vocab: Vocabulary) -> set[tuple[int, int]]:
@@ -103,7 +103,7 @@ class Codec:
     """Ids of whole texts and texts of whole id lists."""
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+        self.vocab = Vocabulary(path)
         self.inner = inner_pairs(self.vocab)
         self.fragments = Table(self._fragment)
         self.parts = Parts(self._word, lambda values: list(chain.from_iterable(values)))
@@ -128,14 +128,9 @@ class Codec:
         return b"".join(map(self.vocab.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The codec of this worker process for a vocabulary file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return worker_tables("codec", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

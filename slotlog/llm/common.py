@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,30 @@ def per_document(df: DataFrame, schema: str, make: Callable[[], Callable[[list[s
     return df.select(*keep, "text").mapInArrow(run, out)
 
 
+_tables: dict[tuple, Any] = {}
+
+
+def worker_tables(name: str, key: Any, make: Callable[[], Any]) -> Any:
+    """The tables that operator ``name`` keeps in this worker process under ``key``; those of any other operator are dropped.
+
+    Worker processes are used again by the jobs that follow, so without this the tables of all operators of a run would add up.
+    """
+    if (name, key) not in _tables:
+        _tables.clear()
+        give_back()
+        _tables[name, key] = make()
+    return _tables[name, key]
+
+
+def give_back() -> None:
+    """Return unused memory of this worker process to the machine: workers live on after their task, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of text, so that long texts do not pile up as Python objects."""
     rows = batch.num_rows
@@ -61,7 +87,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
     step = max(1, int(rows * most / max(most, batch.column(column).nbytes)))
     for at in range(0, rows, step):
         yield batch.slice(at, min(step, rows - at))
-    pa.default_memory_pool().release_unused()  # workers live on after their task; what they keep counts against the executor
+    give_back()
 
 
 def sampled(rows: DataFrame, max_rows: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotlog.llm.bpe import Table
-from slotlog.llm.common import id_text, join_groups, only_ids, slices
+from slotlog.llm.common import id_text, join_groups, only_ids, slices, worker_tables
 from slotlog.session import cut_lineage
 
 WORDS = 5
@@ -61,7 +61,9 @@ def _word_hash(token: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if word else 0
 
 
-_words = Table(_word_hash, most=60_000)
+def words() -> Table:
+    """Hashes of the words this worker process has seen lately."""
+    return worker_tables("ngram words", None, lambda: Table(_word_hash, most=60_000))
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def spread(h: np.ndarray) -> np.ndarray:
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word 5-grams of a text."""
     tokens = text.split()
-    w = np.fromiter(map(_words.__getitem__, tokens), U, len(tokens))
+    w = np.fromiter(map(words().__getitem__, tokens), U, len(tokens))
     w = w[w != 0]
     if not len(w):
         return w

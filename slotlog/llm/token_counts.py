@@ -15,8 +15,8 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 
-from slotlog.llm.bpe import Parts, Vocabulary, vocabulary
-from slotlog.llm.common import id_text, per_document
+from slotlog.llm.bpe import Parts, Vocabulary
+from slotlog.llm.common import id_text, per_document, worker_tables
 
 PLACE = (1 << 40) - 1
 
@@ -61,21 +61,16 @@ class Counter:
     """Number of tokens of whole texts."""
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+        self.vocab = Vocabulary(path)
         self.parts = Parts(lambda word: merged_length(word.encode(), self.vocab), sum)
 
     def count(self, text: str) -> int:
         return sum(1 if special is not None else self.parts.of(section) for section, special in self.vocab.sections(text))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """The counter of this worker process for a vocabulary file."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return worker_tables("counter", path, lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotlog.llm.common import id_text, slices
+from slotlog.llm.common import id_text, slices, worker_tables
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
@@ -116,13 +116,9 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    """The encoder of this worker process for a vocabulary file."""
+    return worker_tables("library encoder", path, lambda: LibraryEncoder(path))
 
 
 def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0, shards: int | None = None, stripe_mb: int = 64,

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from slotlog.llm import bpe_codec, queries, token_counts, token_files
-from slotlog.llm.bpe import Table, vocabulary
+from slotlog.llm.bpe import Table, Vocabulary
 from slotlog.llm.queries import TOKENIZER
 
 SF = "/root/testdata/sf0.001"
@@ -60,7 +60,7 @@ def test_broken_utf8_decodes_like_the_library(spark, library):
 
 
 def test_long_fragments_and_cuts_equal_plain_merging():
-    v = vocabulary(TOKENIZER)
+    v = Vocabulary(TOKENIZER)
     rng = random.Random(3)
     inner = bpe_codec.inner_pairs(v)
     for n in [1, 2, 5, 80, 400]:
