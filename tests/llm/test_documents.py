@@ -168,9 +168,9 @@ def test_leaks_equal_brute_force(spark):
         a = decontaminate.plain(t or "")
         if len(a) > 5000 and d < len(ODD):
             continue
-        for (item, _, seg), e in zip(index.segments, index.budget, strict=True):
-            if (d, item) not in want and edits_inside(seg.tolist(), a.tolist()) <= e:
-                want.add((d, item))
+        for owners, seg, e in zip(index.owners, index.segments, index.budget, strict=True):
+            if any((d, item) not in want for item in owners) and edits_inside(seg.tolist(), a.tolist()) <= e:
+                want.update((d, item) for item in owners)
     assert got == want and 20 < len(want)
 
 
@@ -205,6 +205,42 @@ def test_quotes_from_any_place_of_an_item():
     assert index.matches(noise) == index.matches("") == {}
 
 
+def test_leaks_in_texts_that_repeat_a_phrase(monkeypatch):
+    """Equal to small windows and stretches, in bounded memory, also where item and text both repeat."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    items = [(1, " ".join(words(rng, 12)) + " " + "ha " * 20 + " ".join(words(rng, 12))), (2, "ha " * 90), (3, " ".join(words(rng, 30))), (4, "ha " * 90)]
+    text = " ".join(words(rng, 400)) + " ha" * 13_000 + " " + items[0][1] + " " + items[2][1]
+    index = decontaminate.Index(items, 0.08)
+    tracemalloc.start()
+    found = index.matches(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert {i: f[0] for i, f in found.items()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    monkeypatch.setattr(decontaminate, "POSTINGS", 500)
+    monkeypatch.setattr(decontaminate, "STRETCH", 777)
+    assert {i: f[0] for i, f in index.matches(text).items()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert decontaminate.plain(text).tolist() == decontaminate.plain(text + ".").tolist()
+
+
+def test_stretches_do_not_change_a_text(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aB. ,é") for _ in range(n)) for n in range(1, 60)]
+    whole = [decontaminate.plain(t).tolist() for t in texts]
+    monkeypatch.setattr(decontaminate, "STRETCH", 3)
+    assert [decontaminate.plain(t).tolist() for t in texts] == whole
+
+
+def test_shorter_quotes_with_a_finer_grid():
+    rng = random.Random(5)
+    item = " ".join(words(rng, 60))
+    quote = " ".join(words(rng, 40, "mnop")) + " " + item[101:136] + " " + " ".join(words(rng, 40, "mnop"))
+    assert decontaminate.Index([(1, item)], 0.08).matches(quote) == {}
+    assert 1 in decontaminate.Index([(1, item)], 0.08, (*decontaminate.GRIDS, (30, 5))).matches(quote)
+
+
 # ------------------------------------------------------------------ lines
 
 def one_edit(a, b):
