@@ -150,7 +150,7 @@ def score_sql(d: Dialect) -> str:
       case when l_returnflag = 'R' then 1 else 0 end as label,
       cast({hashed} % 10007 as double) / 10007 as score,
       cast(({hashed} * 31 + l_partkey * 17) % 997 as double) / 997 as score_b,
-      l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate
+      l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate, {hashed} as l_cents
     from lineitem"""
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slotlog import constants as K
 from slotlog.functions import rules, text
 from slotlog.functions.dates import is_weekday
+from slotlog.functions.hashes import row_hash
 
 
 def cast_datetime_columns(df: DataFrame, known: Sequence[str] = (), clamp: bool = False) -> DataFrame:
@@ -147,7 +148,7 @@ def sample_history(df: DataFrame, seed: int = 0) -> DataFrame:
     """History of one outpatient appointment chosen by a seeded hash."""
     pick = (
         df.filter(F.col("patient_class_adj") == "ambulant")
-        .orderBy(F.xxhash64(F.col("FillerOrderNo"), F.lit(seed)), "FillerOrderNo")
+        .orderBy(row_hash(seed, ["FillerOrderNo"]), "FillerOrderNo")
         .select("FillerOrderNo").limit(1)
     )
     return df.join(F.broadcast(pick), "FillerOrderNo", "left_semi").orderBy("date")

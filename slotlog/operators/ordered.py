@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotlog.functions.hashes import HASH_BITS, row_hash
+
 HOT_MIN_ROWS = 2_000_000   # a group of this size is an ordinary task
 CHUNK_ROWS = 1_000_000
 SMALLEST_SHARE = 1e-5
@@ -309,15 +311,15 @@ def with_random_rank(df: DataFrame, keys: Sequence[str], identity: Sequence[str]
                      rows: int | None = None, rows_per_chunk: int = CHUNK_ROWS) -> DataFrame:
     """Add each row's 0-based place in a seeded random order of its key group.
 
-    The order is that of a hash of ``keys`` and ``identity``, so every group has its own
-    order and none depends on how the table is partitioned. The top bits of the hash number the chunks: they are
+    The order is that of a hash of ``keys`` and ``identity`` (whole numbers, text or dates, which read alike in every
+    engine), so every group has its own order and none depends on how the table is partitioned. The top bits of the hash number the chunks: they are
     uniform, so large groups split evenly without looking at the data.
     """
     rows = df.count() if rows is None else rows
     bits = max(0, math.ceil(math.log2(max(rows, 1) / rows_per_chunk)))
-    out = df.withColumn("order_hash", F.xxhash64(*[F.col(c) for c in (*keys, *identity)], F.lit(seed)))
+    out = df.withColumn("order_hash", row_hash(seed, [*keys, *identity]))
     chunk = chunk_column(keys)
     if bits:
-        out = out.withColumn(chunk, F.shiftright("order_hash", 64 - min(bits, 16)).cast("int"))
+        out = out.withColumn(chunk, F.shiftright("order_hash", HASH_BITS - bits).cast("int"))
     out = with_ordered(out, keys, ["order_hash", *identity], {name: rows_before()})
     return out.drop("order_hash", chunk) if bits else out.drop("order_hash")

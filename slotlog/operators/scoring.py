@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from slotlog import constants as K
 from slotlog.functions import rules
+from slotlog.functions.hashes import PRIME, row_hash, with_keyed_hash
 from slotlog.functions.dates import weekday_name
 from slotlog.operators import ordered
 from slotlog.operators.describe import exact_quantiles
@@ -104,9 +105,15 @@ def fold_parts(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
 
 
-def leave_one_group_out(df: DataFrame, group: str, value) -> tuple[DataFrame, DataFrame]:
-    mine = F.col(group).eqNullSafe(F.lit(value))
-    return df.filter(~mine), df.filter(mine)
+def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
+    """Every row once for each value of ``group``: ``held_out`` is that value, ``is_test`` says whether the row belongs to it.
+
+    One plan whatever the number of groups; the distinct values travel as one small table, each row is repeated where it lies.
+    """
+    value = F.struct(F.col(group).alias("v"))
+    values = df.agg(F.array_sort(F.collect_set(value)).alias("held")).select("held").scalar()
+    return df.withColumn("held", F.explode(values)).withColumns(
+        {"held_out": F.col("held.v"), "is_test": F.col(group).eqNullSafe(F.col("held.v"))}).drop("held")
 
 
 def common_columns(master: DataFrame, live: DataFrame) -> DataFrame:
@@ -279,37 +286,99 @@ def importance_summary(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- permutations
 
-def permutation_test(first: DataFrame, second: DataFrame, identity: list[str], trials: int, seed: int = 0,
+#: A trial's rows are told apart by this many bits of their hash in one pass.
+RADIX_BITS = 6
+#: With so many rows left in a trial's cut on average, they are ranked.
+RANKED_ROWS = 4_000
+
+
+def _cells(statistic: str) -> dict[str, Column]:
+    """What is summed over the rows of a group."""
+    c = F.col
+    if statistic == "log_loss":
+        p = clip(c("pred").cast("double"), 1e-15)
+        return {"loss": -(c("true") * F.log(p) + (1 - c("true")) * F.log(F.lit(1.0) - p))}
+    return {n: ((c("true") == y) & (c("pred") == p)).cast("long") for n, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))}
+
+
+def permuted_sums(rows: DataFrame, cells: list[str], n1: int, trials: int) -> list[tuple[int, ...]]:
+    """For each trial the number of rows and the sums of ``cells`` over ``n1`` rows that it picks.
+
+    ``rows`` has ``x`` and ``y``, hashes below 2^31 of each row. A trial picks the rows with the smallest keyed hash of ``x``, ties by
+    ``y``, then by the cells. Rows are never shuffled with trials: a pass counts, inside each task, the next bits of the hashes in
+    each trial's cut, the sums per bucket tell the next cut, and only the rows of a narrow cut are ranked, as counts of equal ones.
+    What comes to the driver is 64 buckets a trial.
+    """
+    c = F.col
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long")))
+    sums = [F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(x) for x in cells]]
+    hashed = with_keyed_hash(rows.withColumn("trial", each), "trial")
+    prefix, need, done = [0] * trials, [n1] * trials, [[0] * (1 + len(cells)) for _ in range(trials)]
+    left, shift = rows.count(), 31
+    while shift and left > RANKED_ROWS:
+        cut = _in_cut(hashed, prefix, shift)
+        shift = max(0, shift - RADIX_BITS)
+        found: dict[int, list] = {}
+        for r in cut.groupBy("trial", F.shiftright("h", shift).alias("bucket")).agg(*sums).collect():
+            found.setdefault(r["trial"], []).append(r)
+        left = 0
+        for t, buckets in found.items():
+            for r in sorted(buckets, key=lambda r: r["bucket"]):
+                if r["rows"] > need[t]:  # the cut goes through this bucket, or ends before it
+                    prefix[t] = r["bucket"]
+                    left += r["rows"]
+                    break
+                need[t] -= r["rows"]
+                done[t] = [a + r[n] for a, n in zip(done[t], ["rows", *cells], strict=True)]
+            else:
+                prefix[t] = -1
+        left //= trials
+    kinds = _in_cut(hashed, prefix, shift).groupBy("trial", "h", "y", *cells).agg(F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy("trial").orderBy("h", "y", *cells).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.element_at(F.lit(need), (c("trial") + 1).cast("int"))
+    taken = F.greatest(F.lit(0), F.least(c("rows"), wanted - F.coalesce(F.sum("rows").over(order), F.lit(0))))
+    picked = kinds.withColumn("taken", taken).filter("taken > 0").groupBy("trial").agg(
+        F.sum("taken").alias("rows"), *[F.sum(c("taken") * c(x)).alias(x) for x in cells])
+    for r in picked.collect():
+        done[r["trial"]] = [a + r[n] for a, n in zip(done[r["trial"]], ["rows", *cells], strict=True)]
+    return [(t, *d) for t, d in enumerate(done)]
+
+
+def _in_cut(hashed: DataFrame, prefix: list[int], shift: int) -> DataFrame:
+    if shift == 31:
+        return hashed
+    return hashed.filter(F.shiftright("h", shift) == F.element_at(F.lit(prefix), (F.col("trial") + 1).cast("int")))
+
+
+def permutation_test(first: DataFrame, second: DataFrame, identity: list[str], trials: int = 1000, seed: int = 0,
                      statistic: str = "f1") -> DataFrame:
     """Share of random re-splits of the pooled rows whose score difference exceeds the observed one.
 
-    Columns ``true`` and ``pred``. Each trial keeps both sizes exactly. Rows are repeated
-    once per trial, ranked by a hash within the trial, and reduced to sums at once.
+    Columns ``true`` and ``pred``; ``identity`` are whole numbers, text or dates. Each trial keeps both sizes exactly.
     """
     c = F.col
-    n1, n2 = first.count(), second.count()
+    cells = _cells(statistic)
     pooled = first.select("true", "pred", *identity).withColumn("grp", F.lit(1)).unionByName(
         second.select("true", "pred", *identity).withColumn("grp", F.lit(2)))
-    # Trial -1 is the observed split.
-    rows = pooled.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    rows = ordered.with_random_rank(rows, ["trial"], ["grp", *identity], seed, rows=n1 + n2)
-    shuffled = rows.withColumn("part", F.when(c("random_rank") < n1, 1).otherwise(2)).select("trial", "part", "true", "pred")
-    observed = pooled.select(F.lit(-1).alias("trial"), c("grp").alias("part"), "true", "pred")
-    both = observed.unionByName(shuffled)
-
-    def score(part: int) -> Column:
-        mine = c("part") == part
-        y, p = F.when(mine, c("true")), F.when(mine, c("pred"))
-        if statistic == "log_loss":
-            return log_loss_sum(y.cast("double"), p.cast("double")) / F.lit(float(n1 if part == 1 else n2))
-        n = lambda a, b: F.count_if((y == a) & (p == b))
-        return macro_f1(n(1, 1), n(0, 1), n(1, 0), n(0, 0))
-
-    difference = score(2) - score(1) if statistic == "log_loss" else score(1) - score(2)
-    per_trial = both.groupBy("trial").agg(difference.alias("difference"))
-    seen = F.max(F.when(c("trial") == -1, c("difference")))
-    diffs = F.collect_list(F.when(c("trial") >= 0, c("difference")))  # one number per trial, a parameter
-    summary = per_trial.agg(seen.alias("observed_difference"), diffs.alias("d"))
+    who = ["grp", *identity]
+    rows = cut_lineage(pooled.select("grp", (row_hash(seed, who) % PRIME).alias("x"), (row_hash(seed, who, 1) % PRIME).alias("y"),
+                                     *[e.alias(n) for n, e in cells.items()]), "permutation-rows")
+    totals = {r["grp"]: r for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in cells]).collect()}
+    sizes = [totals[g]["rows"] if g in totals else 0 for g in (1, 2)]
+    both = [sum(totals[g][n] for g in totals) for n in cells]
+    observed = (-1, sizes[0], *[totals[1][n] if 1 in totals else 0 for n in cells])
+    picked = [observed, *(permuted_sums(rows, list(cells), sizes[0], trials) if sizes[0] else [])]
+    kind = "double" if statistic == "log_loss" else "long"
+    table = first.sparkSession.createDataFrame(
+        [tuple(float(v) if kind == "double" and i > 1 else v for i, v in enumerate(p)) for p in picked],
+        "trial int, rows long, " + ", ".join(f"{n} {kind}" for n in cells))
+    whole = {n: F.lit(v) for n, v in zip(cells, both, strict=True)}
+    if statistic == "log_loss":
+        difference = (whole["loss"] - c("loss")) / F.lit(float(sizes[1])) - c("loss") / F.lit(float(sizes[0]))
+    else:
+        difference = macro_f1(*[c(n) for n in cells]) - macro_f1(*[whole[n] - c(n) for n in cells])
+    seen = F.max(F.when(c("trial") == -1, c("difference"))).alias("observed_difference")
+    summary = table.withColumn("difference", difference).agg(seen, F.collect_list(F.when(c("trial") >= 0, c("difference"))).alias("d"))
     return summary.select(
         "observed_difference",
         (F.size(F.filter("d", lambda d: d > c("observed_difference"))) / F.lit(trials)).alias("alpha"),

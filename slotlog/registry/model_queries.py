@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml import Pipeline
@@ -12,15 +11,17 @@ from pyspark.sql import functions as F
 
 from slotlog import carriers as C
 from slotlog import constants as K
+from slotlog.functions.hashes import PRIME, grid_sql, keyed_hash_sql, permuted_place_sql, row_hash_sql
 from slotlog.operators import scoring
 from slotlog.plans import live_jobs, model_jobs as M
 from slotlog.registry import query
 from slotlog.registry.describe_queries import P
 from slotlog.registry.feature_queries import F_SLOTS, finished
 from slotlog.registry.sql import select
-from slotlog.session import work_dir
+from slotlog.session import cut_lineage, work_dir
 
-ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+#: What tells rows apart: whole numbers, so that every engine hashes them alike.
+ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_cents"]
 MODELS = {"a": "score", "b": "score_b"}
 
 
@@ -78,21 +79,30 @@ def _(spark, sf):
     return scoring.coalesce_predictions(_two_files(calls(spark, sf)), ["FillerOrderNo", "start_time"])
 
 
-@query("threshold_and_randomise", select(_CALLS + """, t as (select * from c where score > 0.6 and dayname(start_time) <> 'Thursday'),
-  n as (select count(*) as n, cast(round_even(count(*) / 2.0, 0) as bigint) as half from t)""",
-  "'intervention' as control, half as appts, true as above from n union all select 'control', n - half, true", "n"))
+def _by_hash(seed: int, identity: list[str], keys: list[str] | None = None) -> str:
+    """0-based place of a row in a seeded random order, as ``ordered.with_random_rank`` gives it."""
+    keys = keys or ["1"]
+    within = f"partition by {', '.join(keys)} " if keys != ["1"] else ""
+    return f"(row_number() over ({within}order by {row_hash_sql(seed, [*keys, *identity])}, {', '.join(identity)}) - 1)"
+
+
+@query("threshold_and_randomise", select(_CALLS + f""", t as (select * from c where score > 0.6 and dayname(start_time) <> 'Thursday'),
+  r as (select *, {_by_hash(3, ['FillerOrderNo'])} as place, cast(round_even(count(*) over () / 2.0, 0) as bigint) as half from t)""",
+  "FillerOrderNo, start_time, round(score, 6) as score, case when place < half then 'intervention' else 'control' end as control", "r"))
 def _(spark, sf):
     picked = scoring.select_above(calls(spark, sf), 0.6, dt.date(2024, 2, 1))
-    out = scoring.randomise_half(picked, ["FillerOrderNo"], seed=3)
-    return out.groupBy("control").agg(F.count(F.lit(1)).alias("appts"), F.bool_and(F.col("score") > 0.6).alias("above"))
+    return scoring.randomise_half(picked, ["FillerOrderNo"], seed=3).select("FillerOrderNo", "start_time", "score", "control")
 
 
 # ---------------------------------------------------------------- splits
 
-@query("split_train_validation", select(P, """'validation' as part, cast(ceil(count(*) * 0.2) as bigint) as n from p union all
-  select 'train', count(*) - cast(ceil(count(*) * 0.2) as bigint)""", "p"))
+_ROW = ", ".join(ROW)
+
+
+@query("split_train_validation", select(f"""{P}, r as (select *, {_by_hash(94, ROW)} as place, count(*) over () as n from p)""",
+  f"{_ROW}, case when place < cast(ceil(n * 0.2) as bigint) then 'validation' else 'train' end as part", "r"))
 def _(spark, sf):
-    return scoring.split_train_validation(scored(spark, sf), ROW, 0.2).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.split_train_validation(scored(spark, sf), ROW, 0.2).select(*ROW, "part")
 
 
 @query("split_by_time", select(P, """l_orderkey, l_linenumber, case when cast(l_shipdate as date) < date '1997-11-24' then 'train'
@@ -102,22 +112,18 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", "part")
 
 
-@query("fold_assign", select(P, """label, fold, (count(*) - fold + 4) // 5 as n""", "p, range(5) r(fold)", "group by label, fold"))
+_FOLDS = f"{P}, fo as (select *, {_by_hash(42, ROW, ['label'])} % 5 as fold from p)"
+
+
+@query("fold_assign", select(_FOLDS, f"{_ROW}, label, fold", "fo"))
 def _(spark, sf):
-    return scoring.assign_folds(scored(spark, sf), "label", ROW, 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.assign_folds(scored(spark, sf), "label", ROW, 5).select(*ROW, "label", "fold")
 
 
-@query("leave_one_group_out", select(P, "l_linestatus as held_out, count(*) as test_rows, (select count(*) from p) - count(*) as "
-                                     "train_rows", "p", "group by 1"))
+@query("leave_one_group_out", select(P, f"{_ROW}, g.l_linestatus as held_out, g.l_linestatus = p.l_linestatus as is_test",
+                                     "p, (select distinct l_linestatus from p) g"))
 def _(spark, sf):
-    df = scored(spark, sf)
-    # Each value of the group column is held out once; as many plans as groups, so the column is one of few values.
-    parts = []
-    for v in [r[0] for r in df.select("l_linestatus").distinct().orderBy("l_linestatus").collect()]:
-        for is_test, rows in enumerate(scoring.leave_one_group_out(df, "l_linestatus", v)):
-            parts.append(rows.select(F.lit(v).alias("held_out"), F.lit(is_test).alias("is_test")))
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("held_out").agg(
-        F.count_if(F.col("is_test") == 1).alias("test_rows"), F.count_if(F.col("is_test") == 0).alias("train_rows"))
+    return scoring.leave_one_group_out(scored(spark, sf), "l_linestatus").select(*ROW, "held_out", "is_test")
 
 
 # ---------------------------------------------------------------- metrics
@@ -221,18 +227,37 @@ h as (select max({_F1}) filter (where l_linestatus = 'F') - max({_F1}) filter (w
     max(ll) filter (where l_linestatus = 'O') - max(ll) filter (where l_linestatus = 'F') as d_ll from g)"""
 
 
-@query("permutation_test", select(_PT, "round(d, 6) as observed_difference, 20 as trials, true as is_share", "h"))
+TRIALS = 1000
+# Every trial ranks all rows by its own hash of each and takes as many as the first group has.
+_WHO = ["grp", *ROW]
+_LOSS = "-(true_ * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - true_) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))"
+_TRIALS = f"""{_PT}, who as (select case l_linestatus when 'F' then 1 else 2 end as grp, {_ROW}, label as true_, score from p),
+hx as (select grp, {row_hash_sql(0, _WHO)} % {PRIME} as x, {row_hash_sql(0, _WHO, 1)} % {PRIME} as y, {{cells}} from who),
+each as (select *, unnest(range({TRIALS})) as trial from hx),
+ranked as (select trial, {{names}}, row_number() over (partition by trial order by h, y, {{names}}) as place from {keyed_hash_sql('each', 'trial')} k),
+picked as (select trial, {{sums}} from ranked where place <= (select count(*) from hx where grp = 1) group by trial),
+whole as (select count(*) filter (grp = 1) as n1, count(*) filter (grp = 2) as n2, {{totals}} from hx)"""
+_CELLS = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+_OTHER = _F1
+for _n in _CELLS:
+    _OTHER = _OTHER.replace(_n, f"(a_{_n} - {_n})")
+
+
+@query("permutation_test", select(_TRIALS.format(
+    cells=", ".join(f"cast(true_ = {y} and (score > 0.5) = ({p} = 1) as bigint) as {n}" for n, (y, p) in _CELLS.items()), names=", ".join(_CELLS),
+    sums=", ".join(f"sum({n})::bigint as {n}" for n in _CELLS), totals=", ".join(f"sum({n})::bigint as a_{n}" for n in _CELLS)),
+    f"round(d, 6) as observed_difference, {TRIALS} as trials, (select count(*) from picked, whole where {_F1} - {_OTHER} > d) / {TRIALS} as alpha", "h"))
 def _(spark, sf):
     a, b = [x.withColumn("pred", (F.col("score") > 0.5).cast("int")) for x in _pair(spark, sf)]
-    out = scoring.permutation_test(a, b, ROW, trials=20)
-    return out.select("observed_difference", "trials", F.col("alpha").between(0, 1).alias("is_share"))
+    return scoring.permutation_test(a, b, ROW, TRIALS)
 
 
-@query("permutation_test_log_loss", select(_PT, "round(d_ll, 6) as observed_difference, 10 as trials, true as is_share", "h"))
+@query("permutation_test_log_loss", select(_TRIALS.format(
+    cells=f"{_LOSS} as loss", names="loss", sums="sum(loss) as loss", totals="sum(loss) as a_loss"),
+    f"round(d_ll, 6) as observed_difference, {TRIALS} as trials, (select count(*) from picked, whole where (a_loss - loss) / n2 - loss / n1 > d_ll) / {TRIALS} as alpha", "h"))
 def _(spark, sf):
     a, b = [x.withColumn("pred", F.col("score")) for x in _pair(spark, sf)]
-    out = scoring.permutation_test(a, b, ROW, trials=10, statistic="log_loss")
-    return out.select("observed_difference", "trials", F.col("alpha").between(0, 1).alias("is_share"))
+    return scoring.permutation_test(a, b, ROW, TRIALS, statistic="log_loss")
 
 
 # ---------------------------------------------------------------- models
@@ -316,11 +341,39 @@ def _(spark, sf):
     return live_jobs.score_batch(df, M.load_models(list(models), folder)).select("l_orderkey", "l_linenumber", "prediction_logistic", "prediction_forest")
 
 
+def halves(spark, sf):
+    """Training and test rows, as ``split_train_validation`` marks them."""
+    df = cut_lineage(scoring.split_train_validation(training(spark, sf), ROW, 0.2), "train-test")
+    return {"train": df.filter("part = 'train'").drop("part"), "test": df.filter("part = 'validation'").drop("part")}
+
+
 @query("permutation_importance")
 def _(spark, sf):
-    df = training(spark, sf)
-    model = M.train(df, stages(), M.logistic())
-    return M.permutation_importance(model, df, FEATURES, ROW)
+    parts = halves(spark, sf)
+    model = M.train(parts["train"], stages(), M.logistic())
+    return M.importance_by_part(model, parts, FEATURES, ROW)
+
+
+# A fixed formula instead of a fitted model, so that both engines score the same and every shuffled row is compared.
+_FORMULA = "1 / (1 + exp(-(l_quantity / 10 - l_extendedprice / 20000 + 5 * l_discount - 2)))"
+_SHUFFLED = ["l_quantity", "l_extendedprice", "l_discount"]
+_NLL = "-avg(-(label * ln(least(greatest(s, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(s, 1e-15), 1 - 1e-15))))"
+
+
+@query("permutation_importance_formula", select(f"""{P}, cut as (select *, {_by_hash(94, ROW)} as cut_at, count(*) over () as all_rows from p),
+pl as (select * exclude (cut_at, all_rows), case when cut_at < cast(ceil(all_rows * 0.2) as bigint) then 'test' else 'train' end as part from cut),
+rk as (select *, row_number() over (partition by part order by {row_hash_sql(42, ['1', *ROW])}, {_ROW}) - 1 as place, count(*) over (partition by part) as n from pl),
+sides as (select n, a, b from (select distinct n from rk) d, lateral {grid_sql('n')} g),
+each as (select rk.part, rk.place, rk.n, a, b, {", ".join(f"rk.{x}" for x in _SHUFFLED)}, unnest(range(10)) as repeat from rk join sides using (n)),
+sent as (select * from {permuted_place_sql('each', 'place', 'repeat')} q),
+mx as ({" union all ".join(f"select rk.part, '{f}' as feature, repeat, label, " + ", ".join((f"sent.{x}" if x == f else f"rk.{x}") + f" as {x}" for x in _SHUFFLED)
+       + " from rk join sent on rk.part = sent.part and rk.place = sent.image" for f in _SHUFFLED)}),
+vs as (select part, feature, repeat, {_NLL} as v from (select *, {_FORMULA} as s from mx) m group by all),
+bs as (select part, {_NLL} as v from (select *, {_FORMULA} as s from rk) m group by all)""",
+  "part, feature, count(*) as repeats, round(avg(bs.v - vs.v), 6) as average, round(stddev_pop(bs.v - vs.v), 6) as std", "vs join bs using (part)", "group by part, feature"))
+def _(spark, sf):
+    predict = lambda df: df.withColumn("score", F.expr(_FORMULA))
+    return M.importance_by_part(predict, halves(spark, sf), _SHUFFLED, ROW)
 
 
 @query("custom_scalar_transform", select(P, """l_orderkey, l_linenumber, round(l_extendedprice::float::double, 6) as l_extendedprice,

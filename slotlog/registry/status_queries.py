@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotlog import carriers as C
 from slotlog import constants as K
+from slotlog.functions.hashes import row_hash_sql
 from slotlog.functions import dates, rules, text
 from slotlog.operators import cleaning, ordered, slots, status
 from slotlog.registry import query
@@ -135,7 +136,8 @@ def _(spark, sf):
     return cleaning.history_of(log(spark, sf), 101).select(*IDS, "date", "was_status", "now_status")
 
 
-@query("sample_one_history")
+@query("sample_one_history", select(STATUS, f"{ID}, date, was_status, now_status", "st", f"""where FillerOrderNo = (
+  select FillerOrderNo from st where patient_class_adj = 'ambulant' order by {row_hash_sql(7, ['FillerOrderNo'])}, FillerOrderNo limit 1)"""))
 def _(spark, sf):
     return cleaning.sample_history(log(spark, sf), seed=7).select(*IDS, "date", "was_status", "now_status")
 
