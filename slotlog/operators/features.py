@@ -136,9 +136,12 @@ def add_days_advanced(status_df: DataFrame, slot_df: DataFrame) -> DataFrame:
     return lead_time_columns(slot_df.join(lead, ["FillerOrderNo", "start_time"]))
 
 
-def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Sequence[str] = ()) -> DataFrame:
+def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Sequence[str] = (),
+                       patients: ordered.HotChunks | None = None) -> DataFrame:
     """A patient's earlier appointments and no-shows, not counting the row itself.
 
+    ``patients`` are those whose rows are too many for one task, found in a table that has at least as many rows of each.
+
     Slots are expected once per patient, appointment and start. ``history``
     adds earlier slots that are not part of ``df``; rows in both count once. A history
     that has the ``per`` columns belongs to their groups, as ``df`` does.
@@ -150,12 +153,16 @@ def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Seq
         base = base.withColumn("is_current", F.lit(True)).unionByName(
             old.withColumn("is_current", F.lit(False)), allowMissingColumns=True)
     missed = F.coalesce(F.col("NoShow").cast("long"), F.lit(0).cast("long"))
-    out = ordered.with_ordered(base, [*per, "MRNCmpdId"], ["start_time", "FillerOrderNo"], {
+    order = ["start_time", "FillerOrderNo"]
+    base = patients.add(base, order) if patients else base
+    out = ordered.with_ordered(base, [*per, "MRNCmpdId"], order, {
         "no_show_before": ordered.sum_before(missed),
         "appts_before": ordered.rows_before(),
     })
     if history is not None:
         out = out.filter("is_current").drop("is_current")
+    if patients:
+        out = out.drop(ordered.chunk_column(["MRNCmpdId"]))
     n, a = F.col("no_show_before"), F.col("appts_before")
     return out.withColumns({
         "no_show_before_sq": n * n,

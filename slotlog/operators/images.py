@@ -9,6 +9,7 @@ from slotlog import constants as K
 from slotlog.functions import rules
 from slotlog.functions.dates import image_clock, seconds_between
 from slotlog.operators import cleaning, ordered
+from slotlog.session import cut_lineage
 
 KEY = ["AccessionNumber"]
 
@@ -74,7 +75,7 @@ def preprocess(df: DataFrame, split_hot: bool = False) -> DataFrame:
     """Known stations, complete and distinct rows, times, gaps, trimmed edges; windows share one exchange."""
     out = add_image_time(cleaning.map_stations(df))
     if split_hot:
-        out = ordered.split_hot_keys(out, KEY, "acq_datetime")
+        out = ordered.split_hot_keys(cut_lineage(out, "images"), KEY, "acq_datetime")
     out = cleaning.distinct_with_keys(out, ["AccessionNumber", "AcquisitionDate"])
     return trim_edges(add_gap_columns(out)).drop(ordered.chunk_column(KEY))
 

@@ -6,9 +6,10 @@ adds a chunk number that follows the order; the columns are then computed per
 (key, chunk), and one small row per chunk carries the state over to the next.
 Cold keys have no chunk number and take exactly the plain window.
 
-Chunk borders are quantiles of the order column over all hot rows, so a
-(key, chunk) group holds at most about ``1 / chunks`` of the hot rows however
-uneven the time pattern is (rows with one identical time stay together).
+Hot keys come from a frequent-items sketch, one mergeable aggregate without a shuffle of the keys. Each hot key has borders of its own,
+every so many rows of a sample of its rows in order: a small sorted table that travels to the rows, which look up their
+chunk by binary search. A border is the whole order (time, then the columns that break ties), so rows with one identical
+time are cut too if the columns after it tell them apart.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotlog.functions.hashes import HASH_BITS, row_hash
+from slotlog.session import cut_lineage
 
 HOT_MIN_ROWS = 2_000_000   # a group of this size is an ordinary task
 CHUNK_ROWS = 1_000_000
-SMALLEST_SHARE = 1e-5
-MAX_CHUNKS = 4096
+#: Sampled rows between two borders; a chunk then differs by about a fifth from the rows it should have.
+SAMPLES = 32
+#: Counters of the sketch, for each key that can be hot; its estimates are off by a quarter of a hot key at most.
+COUNTERS_EACH = 16
+#: Most counters that the sketch can have. Beyond 1.25e11 rows a key counts as hot from a proportionally larger number of rows on.
+MOST_COUNTERS = 1_000_000
+#: A border table of more keys is left to a shuffled join.
+BROADCAST_KEYS = 100_000
 
 
 def chunk_column(keys: Sequence[str]) -> str:
@@ -41,73 +48,95 @@ def find_chunk(df: DataFrame, keys: Sequence[str]) -> str | None:
     return None
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
+def _kind(df: DataFrame, name: str) -> str:
+    """What a column is compared as: times as microseconds, text as it is, all else as a double."""
     kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    return "bigint" if kind.startswith("timestamp") or kind == "date" else "string" if kind == "string" else "double"
+
+
+def _comparable(c: Column, kind: str) -> Column:
+    return F.unix_micros(c.cast("timestamp")) if kind == "bigint" else c.cast(kind)
+
+
+def _position(df: DataFrame, by: Sequence[str], kinds: Sequence[str]) -> Column:
+    """A row's place in the order as one value; nulls last, as in the windows. Columns that the table lacks come first of all."""
+    parts = []
+    for i, kind in enumerate(kinds):
+        here = F.col(by[i]) if i < len(by) and by[i] in df.columns else None
+        parts += [(here.isNull() if here is not None else F.lit(False)).alias(f"n{i}"),
+                  (_comparable(here, kind) if here is not None else F.lit(None).cast(kind)).alias(f"v{i}")]
+    return F.struct(*parts)
 
 
 def _key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("\u001f", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, min_rows: int = HOT_MIN_ROWS,
-             at_most: int | None = None) -> list[str]:
-    """Texts of the keys with more than ``min_rows`` rows; at most rows/min_rows of them exist.
-
-    A frequent-items sketch finds candidates in one pass without shuffling the keys; it
-    never misses a frequent one and keeps 1/share counters. The candidates are then
-    counted exactly. Tables that are too small to hurt are not scanned at all;
-    ``at_most`` is a row count the table is known not to exceed and saves counting.
-    """
-    if at_most is not None and at_most <= min_rows:
-        return []
-    total = df.count()
-    if total <= min_rows:
-        return []
-    text = df.select(_key_text(keys).alias("k"))
-    found = text.stat.freqItems(["k"], share or max(min_rows / total, SMALLEST_SHARE)).first()[0]
-    counted = text.filter(F.col("k").isin(found)).groupBy("k").count().filter(F.col("count") > min_rows)
-    return sorted(r["k"] for r in counted.collect())
+def candidate_keys(df: DataFrame, keys: Sequence[str], rows: int, min_rows: int = HOT_MIN_ROWS) -> list[str]:
+    """Texts of all keys with more than ``min_rows`` of the ``rows``, and perhaps some with a little less; one pass without a shuffle of keys."""
+    most = math.ceil(rows / min_rows)
+    tracked = min(MOST_COUNTERS, max(1024, COUNTERS_EACH * most))
+    sketch = F.expr(f"approx_top_k(k, {min(2 * most, tracked)}, {tracked})")
+    found = df.select(_key_text(keys).alias("k")).agg(sketch.alias("top")).collect()[0]["top"]
+    return sorted(r["item"] for r in found if r["count"] > min_rows)
 
 
 @dataclass(frozen=True)
 class HotChunks:
-    """Which keys are hot and where their order is cut; ``add`` numbers the chunks of any table with these keys."""
+    """Which keys are hot and where their order is cut; ``add`` numbers the chunks of any table with these keys.
+
+    ``table`` has a row per hot key: its text ``hot`` and its sorted ``borders``.
+    """
 
     keys: tuple[str, ...]
-    hot: tuple[str, ...]
-    splits: tuple[float, ...]
-
-    def add(self, df: DataFrame, by: str) -> DataFrame:
-        tmp = "v__" + chunk_column(self.keys)
-        out = df.withColumn(tmp, _numeric(df, by))
-        out = Bucketizer(splits=list(self.splits), inputCol=tmp, outputCol=tmp + "_b",
-                         handleInvalid="keep").transform(out)
-        # Rows without an order value sort last.
-        number = F.when(F.col(tmp).isNull(), F.lit(len(self.splits))).otherwise(F.col(tmp + "_b").cast("int"))
-        is_hot = _key_text(self.keys).isin(list(self.hot))
-        return out.withColumn(chunk_column(self.keys), F.when(is_hot, number)).drop(tmp, tmp + "_b")
-
-
-def find_hot_chunks(df: DataFrame, keys: Sequence[str], by: str, share: float | None = None,
-                    min_rows: int = HOT_MIN_ROWS, rows_per_chunk: int = CHUNK_ROWS,
-                    at_most: int | None = None) -> HotChunks | None:
-    """Hot keys and chunk borders of ``df``, or None when no key is large enough to matter."""
-    hot = hot_keys(df, keys, share, min_rows, at_most)
-    if not hot:
+    kinds: tuple[str, ...]
+    table: DataFrame
+    hot: int
+    most: int
+
+    def add(self, df: DataFrame, by: str | Sequence[str]) -> DataFrame:
+        """``df`` with the chunk column. ``by`` names its columns that the borders are made of; those it lacks sort first."""
+        by = [by] if isinstance(by, str) else list(by)
+        table = F.broadcast(self.table) if self.hot <= BROADCAST_KEYS else self.table
+        out = df.withColumn("chunk_at", _position(df, by, self.kinds)).join(table, _key_text(self.keys) == F.col("hot"), "left")
+        borders, at = F.col("borders"), F.col("chunk_at")
+        # Number of borders up to the row's place, by binary search from the largest step down.
+        steps = [1 << b for b in range(max(1, self.most).bit_length() - 1, -1, -1)]
+        number = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda low, step: F.when(
+            (low + step <= F.size(borders)) & (F.get(borders, low + step - 1) <= at), low + step).otherwise(low))
+        return out.withColumn(chunk_column(self.keys), F.when(borders.isNotNull(), number)).drop("chunk_at", "hot", "borders")
+
+
+def find_hot_chunks(df: DataFrame, keys: Sequence[str], by: str | Sequence[str], min_rows: int = HOT_MIN_ROWS,
+                    rows_per_chunk: int = CHUNK_ROWS, at_most: int | None = None) -> HotChunks | None:
+    """Hot keys of ``df`` with their borders in the order ``by``, or None when no key is large enough to matter.
+
+    A table that is too small to hold one is only counted, or not even that with ``at_most``, a number of rows
+    it is known not to exceed. ``df`` should be stored: a large one is read twice more.
+    """
+    if at_most is not None and at_most <= min_rows:
         return None
-    value = _numeric(df, by)
-    hot_rows = df.filter(_key_text(keys).isin(hot) & value.isNotNull()).select(value.alias("v"))
-    chunks = min(MAX_CHUNKS, max(2, math.ceil(hot_rows.count() / rows_per_chunk)))
-    cuts = hot_rows.approxQuantile("v", [i / chunks for i in range(1, chunks)], 0.25 / chunks)
-    return HotChunks(tuple(keys), tuple(hot), (-math.inf, *sorted(set(cuts)), math.inf))
-
-
-def split_hot_keys(df: DataFrame, keys: Sequence[str], by: str, **limits) -> DataFrame:
+    rows = df.count()
+    if rows <= min_rows:
+        return None
+    found = candidate_keys(df, keys, rows, min_rows)
+    if not found:
+        return None
+    by = [by] if isinstance(by, str) else [c for c in by if c in df.columns]
+    kinds = tuple(_kind(df, c) for c in by)
+    names = df.sparkSession.createDataFrame([(k,) for k in found], "hot string")
+    names = F.broadcast(names) if len(found) <= BROADCAST_KEYS else names
+    picked = F.rand(7) < F.lit(min(1.0, SAMPLES / rows_per_chunk))
+    sample = df.join(names, _key_text(keys) == F.col("hot")).select("hot", F.when(picked, _position(df, by, kinds)).alias("at"))
+    ordered_sample = F.array_sort(F.collect_list("at"))
+    borders = F.array_distinct(F.filter(F.col("places"), lambda x, i: i % SAMPLES == SAMPLES - 1))
+    table = sample.groupBy("hot").agg(F.count(F.lit(1)).alias("n"), ordered_sample.alias("places")).filter(F.col("n") > min_rows)
+    table = cut_lineage(table.select("hot", borders.alias("borders")), "hot-borders")
+    size = table.agg(F.count(F.lit(1)).alias("hot"), F.max(F.size("borders")).alias("most")).collect()[0]
+    return HotChunks(tuple(keys), kinds, table, size["hot"], size["most"]) if size["hot"] else None
+
+
+def split_hot_keys(df: DataFrame, keys: Sequence[str], by: str | Sequence[str], **limits) -> DataFrame:
     """Add the chunk column for hot keys, or return ``df`` unchanged when there are none."""
     chunks = find_hot_chunks(df, keys, by, **limits)
     return chunks.add(df, by) if chunks else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slotlog import constants as K
 from slotlog.functions import dates, text
 from slotlog.operators import ordered
+from slotlog.session import cut_lineage
 
 MACHINE_DAY = ["date", "image_device_id"]
 SMALL_ROWS = 100_000
@@ -102,7 +103,9 @@ def idle_gaps(intervals: DataFrame, hours: DataFrame, buffer_minutes: int = 0, s
     """
     c = F.col
     if split_hot:
-        intervals = ordered.split_hot_keys(with_day(intervals), MACHINE_DAY, "image_start")
+        # Stored first: counting it, and looking for hot machine days in a large one, does not run what it is made of again.
+        intervals = cut_lineage(with_day(intervals), "intervals")
+        intervals = ordered.split_hot_keys(intervals, MACHINE_DAY, ["image_start", "AccessionNumber"])
     df = join_calendar(intervals, hours)
     df = df.filter((c("image_end") > c("day_start_tp")) & (c("image_start") < c("day_end_tp"))).withColumn(
         "within_day", F.lit(1))

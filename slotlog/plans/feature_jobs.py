@@ -67,8 +67,8 @@ def _usual_slots(df: DataFrame) -> DataFrame:
 
 def build_feature_set(status_df: DataFrame, valid_date_range, post_codes: DataFrame, site: str,
                       build_future_slots: bool = True, extra: dict[str, slots.Aggregate] | None = None,
-                      per: Sequence[str] = ()) -> DataFrame:
-    """One row per slot with its features. ``extra`` names further columns of the log to keep."""
+                      per: Sequence[str] = (), patients: ordered.HotChunks | None = None) -> DataFrame:
+    """One row per slot with its features. ``extra`` names further columns of the log to keep, ``patients`` the hot ones of the log."""
     df = outpatient(status_df)
     df = features.add_row_features(df, post_codes, site)
     df = status.times_rescheduled(df, per)
@@ -82,7 +82,7 @@ def build_feature_set(status_df: DataFrame, valid_date_range, post_codes: DataFr
     else:
         out = slots.build_slots(df, valid_date_range, columns)
         out = features.add_days_advanced(df, out)
-    out = features.add_no_show_before(features.add_calendar(out), per=per)
+    out = features.add_no_show_before(features.add_calendar(out), per=per, patients=patients)
     return _usual_slots(features.add_cycles(out))
 
 
@@ -103,7 +103,7 @@ def shift_business_days(day: dt.date, n: int) -> dt.date:
 
 
 def features_ahead(status_df: DataFrame, day, post_codes: DataFrame, site: str, live: bool = False,
-                   per: Sequence[str] = ()) -> DataFrame:
+                   per: Sequence[str] = (), patients: ordered.HotChunks | None = None) -> DataFrame:
     """Features as known before ``day`` for slots 3 to 5 (live: 0 to 2) weekdays ahead.
 
     Kept are slots that are still planned for that time. Appointments whose newest
@@ -126,7 +126,8 @@ def features_ahead(status_df: DataFrame, day, post_codes: DataFrame, site: str,
         "newest": ordered.key_last(F.struct("now_status", "now_sched_for_date", "now_sched_for_busday")),
     })
     known = known.filter(~_canceled_early("newest")).withColumn("newest_planned", F.col("newest.now_sched_for_date"))
-    out = build_feature_set(known.drop("newest"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last}, per=per)
+    out = build_feature_set(known.drop("newest"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last}, per=per,
+                            patients=patients)
     out = out.withColumn("NoShow", F.lit(False))
     current = out.filter(F.col("newest_planned") == F.col("start_time"))
     return cleaning.drop_any_null(current.withColumnRenamed("newest_planned", "now_sched_for_date"))
@@ -186,7 +187,8 @@ def snapshots(status_df: DataFrame, first_day, last_day, post_codes: DataFrame,
     log = status_df.select("FillerOrderNo", c("date").alias("at"), F.lit(1).alias("is_row"), newest.alias("seen"),
                            *[x for x in order if x != "date"])
     if chunks:
-        probes, log = chunks.add(probes, "at"), chunks.add(log, "at")
+        at = ["at", *[x for x in order if x != "date"]]  # a snapshot lacks what breaks ties and goes before all rows of its time
+        probes, log = chunks.add(probes, at), chunks.add(log, at)
     both = probes.unionByName(log, allowMissingColumns=True)
     both = ordered.with_ordered(both, ["FillerOrderNo"], ["at", "is_row", *[x for x in order if x != "date"]],
                                 {"newest": ordered.previous_value(c("seen"))})
@@ -211,13 +213,14 @@ class LogChunks:
 
 
 def find_log_chunks(log: DataFrame, time: str = "date", planned: str = "now_sched_for_date") -> LogChunks:
-    """Two scans of narrow columns on a large log, none on a small one.
+    """A small log is only counted; in a large one, sketches of narrow columns find the keys and a pass over their rows the borders.
 
     A patient has no more slots than rows in the log, so patients that are not hot here
     are not hot in any table made from it.
     """
-    return LogChunks(ordered.find_hot_chunks(log, ["FillerOrderNo"], time),
-                     ordered.find_hot_chunks(log, ["MRNCmpdId"], planned))
+    rows = log.count()
+    return LogChunks(ordered.find_hot_chunks(log, ["FillerOrderNo"], status.message_order(log, time), at_most=rows),
+                     ordered.find_hot_chunks(log, ["MRNCmpdId"], [planned, "FillerOrderNo"], at_most=rows))
 
 
 def training_data(status_df: DataFrame, valid_date_range, post_codes: DataFrame, site: str,
@@ -228,7 +231,7 @@ def training_data(status_df: DataFrame, valid_date_range, post_codes: DataFrame,
     chunks = chunks or find_log_chunks(status_df)
     log = status_df
     if chunks.appointments and not ordered.find_chunk(log, ["FillerOrderNo"]):
-        log = chunks.appointments.add(log, "date")
+        log = chunks.appointments.add(log, status.message_order(log, "date"))
     out = snapshots(log, first_day, hi, post_codes, site, chunks=chunks.appointments, finish=False)
     out = cleaning.in_date_range(out, lo, hi)
 
@@ -241,8 +244,7 @@ def training_data(status_df: DataFrame, valid_date_range, post_codes: DataFrame,
     # Calendar columns come last: many aliases below a join make the optimizer slow.
     out = _finish(out)
     if add_history:
-        out = chunks.patients.add(out, "start_time") if chunks.patients else out
-        out = features.add_no_show_before(out).drop(ordered.chunk_column(["MRNCmpdId"]))
+        out = features.add_no_show_before(out, patients=chunks.patients)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotlog.functions import dates
-from slotlog.operators import cleaning, features, scoring, slots, status
+from slotlog.operators import cleaning, features, ordered, scoring, slots, status
 from slotlog.plans import feature_jobs
 from slotlog.sources.files import parse_file_name
 
@@ -67,7 +67,12 @@ def retrospective_features(files: DataFrame, actual_log: DataFrame, valid_date_r
     actual = slots.build_slots(actual_log, valid_date_range).select("MRNCmpdId", "start_time", "NoShow")
     out = out.drop("NoShow").join(actual, ["MRNCmpdId", "start_time"], "left")
     out = slots.dedup_patient_slot(out.withColumn("NoShow", F.coalesce("NoShow", F.lit(False))).distinct())
-    return features.add_no_show_before(out, history)
+    return features.add_no_show_before(out, history, patients=hot_patients(history))
+
+
+def hot_patients(slot_df: DataFrame) -> ordered.HotChunks | None:
+    """Patients with more slots than one task should take."""
+    return ordered.find_hot_chunks(slot_df, ["MRNCmpdId"], ["start_time", "FillerOrderNo"])
 
 
 def new_rows(df: DataFrame, history: DataFrame, keys: Sequence[str] = ("FillerOrderNo", "start_time")) -> DataFrame:

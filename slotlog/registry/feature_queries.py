@@ -187,7 +187,7 @@ _HIST = """no_show_before, no_show_before * no_show_before as no_show_before_sq,
 
 @query("no_show_before", select(f"{F_SLOTS}, {_history_sql('f')}", f"FillerOrderNo, MRNCmpdId, start_time, {_HIST}", "nb"))
 def _(spark, sf):
-    df = ordered.split_hot_keys(finished(spark, sf), ["MRNCmpdId"], "start_time")
+    df = ordered.split_hot_keys(finished(spark, sf), ["MRNCmpdId"], ["start_time", "FillerOrderNo"])
     return features.add_no_show_before(df).select("FillerOrderNo", "MRNCmpdId", "start_time", *features.HISTORY_COLUMNS)
 
 
@@ -347,7 +347,7 @@ _SNAP = f"""{STATUS}, {_DIST},
 @query("snapshot_range_join", select(_SNAP, f"cast(snapshot as timestamp) as snapshot, {_OUT.replace('end_time, NoShow', 'end_time, false as NoShow')}",
                                      "sn"))
 def _(spark, sf):
-    chunks = ordered.find_hot_chunks(C.status(spark, sf), status.KEY, "History_MessageDtTm")
+    chunks = ordered.find_hot_chunks(C.status(spark, sf), status.KEY, ["History_MessageDtTm", "ingest_seq"])
     return jobs.snapshots(log(spark, sf), "2023-12-25", _HI, C.post_codes(spark, sf), C.SITE_POST_CODE, chunks=chunks).select(
         "snapshot", *FEATURE_OUT)
 

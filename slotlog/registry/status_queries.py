@@ -19,7 +19,7 @@ IDS = ["FillerOrderNo", "ingest_seq"]
 
 def raw(spark, sf):
     """Raw log; hot appointments, if any, are numbered into chunks first."""
-    return ordered.split_hot_keys(C.status(spark, sf), status.KEY, "History_MessageDtTm")
+    return ordered.split_hot_keys(C.status(spark, sf), status.KEY, ["History_MessageDtTm", "ingest_seq"])
 
 
 def changes(spark, sf):
