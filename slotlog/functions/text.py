@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotlog import constants as K
@@ -46,30 +48,67 @@ def clamp_year(c: Column) -> Column:
     )
 
 
-def last_matching(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Label of the last rule whose pattern occurs in ``c`` (letter case ignored), else null."""
+def folded(c: Column) -> Column:
+    """Text in lower case, with the two signs outside the alphabets that read as letters of it without regard to case."""
+    return F.lower(F.translate(c, "\u017f\u212a", "sk"))
+
+
+def occurs(folded_text: Column, pattern: str) -> Column:
+    """Whether one of the alternatives of ``pattern`` occurs in a folded text.
+
+    Words are searched as they are; ``^`` and ``$`` anchor at the ends. Only alternatives with a dot, which stands for any
+    character, need a regular expression, one for all of them.
+    """
+    words, exact, starts, dotted = [], [], [], []
+    for part in pattern.lower().split("|"):
+        if "." in part:
+            dotted.append(part)
+        elif part.startswith("^"):
+            (exact if part.endswith("$") else starts).append(part.strip("^$"))
+        else:
+            words.append(part)
+    # A word is found with any shorter one inside it.
+    words = [w for w in dict.fromkeys(words) if not any(x != w and x in w for x in words)]
+    hits = [F.contains(folded_text, F.lit(w)) for w in words] + [F.startswith(folded_text, F.lit(w)) for w in starts]
+    if exact:
+        hits.append(folded_text.isin(exact))
+    if dotted:
+        hits.append(folded_text.rlike("|".join(dotted)))
+    out = hits[0]
+    for hit in hits[1:]:
+        out = out | hit
+    return out
+
+
+def last_matching(folded_text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Label of the last rule whose pattern occurs in a folded text, else null."""
     out = None
     for pattern, label in reversed(rules):
-        hit = c.rlike("(?iu)" + pattern)
+        hit = occurs(folded_text, pattern)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out
 
 
-def modality(c: Column) -> Column:
-    return F.coalesce(last_matching(c, K.MODALITY_RULES), F.lit("other"))
+def _with_label(df: DataFrame, column: str, name: str, label: Callable[[Column, Column], Column]) -> DataFrame:
+    # The folded text is a column of its own, so that it is made once for all rules.
+    return df.withColumn("folded__", folded(F.col(column))).withColumn(name, label(F.col(column), F.col("folded__"))).drop("folded__")
 
 
-def occupation(c: Column) -> Column:
-    missing = c.isNull() | c.isin("nan", "-")
-    text = F.coalesce(c, F.lit("nan"))
-    return F.coalesce(last_matching(text, K.OCCUPATION_RULES), F.when(missing, "none_given"), F.lit("other"))
+def add_modality(df: DataFrame, column: str, name: str = "modality") -> DataFrame:
+    return _with_label(df, column, name, lambda c, t: F.coalesce(last_matching(t, K.MODALITY_RULES), F.lit("other")))
 
 
-def reason(c: Column) -> Column:
-    return (
-        F.when(c.isNull() | (c == "nan"), "none_given")
-        .otherwise(F.coalesce(last_matching(c, K.REASON_RULES), F.lit("other")))
-    )
+def add_occupation(df: DataFrame, column: str, name: str = "occupation") -> DataFrame:
+    def label(c: Column, t: Column) -> Column:
+        missing = c.isNull() | c.isin("nan", "-")
+        return F.coalesce(last_matching(F.coalesce(t, F.lit("nan")), K.OCCUPATION_RULES), F.when(missing, "none_given"), F.lit("other"))
+
+    return _with_label(df, column, name, label)
+
+
+def add_reason(df: DataFrame, column: str, name: str = "reason") -> DataFrame:
+    return _with_label(df, column, name, lambda c, t: F.when(c.isNull() | (c == "nan"), "none_given").otherwise(
+        F.coalesce(last_matching(t, K.REASON_RULES), F.lit("other"))))
 
 
 def reason_rank(c: Column) -> Column:

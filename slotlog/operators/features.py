@@ -18,15 +18,15 @@ HISTORY_COLUMNS = ["no_show_before", "no_show_before_sq", "appts_before", "show_
 # ---------------------------------------------------------------- status rows
 
 def add_modality(df: DataFrame) -> DataFrame:
-    return df.withColumn("modality", text.modality(F.col("UniversalServiceName")))
+    return text.add_modality(df, "UniversalServiceName")
 
 
 def add_occupation(df: DataFrame) -> DataFrame:
-    return df.withColumn("occupation", text.occupation(F.col("Beruf"))).drop("Beruf")
+    return text.add_occupation(df, "Beruf").drop("Beruf")
 
 
 def add_reason(df: DataFrame) -> DataFrame:
-    return df.withColumn("reason", text.reason(F.col("ReasonForStudy")))
+    return text.add_reason(df, "ReasonForStudy")
 
 
 def add_codes(df: DataFrame) -> DataFrame:

@@ -143,12 +143,12 @@ def test_live_file_logs_equal_single_files(spark):
 
 def test_cascades_last_match_wins(spark):
     df = spark.createDataFrame([("MR SCHÄDEL und Hals",), ("Knie links",), ("x",), ("MRCP",)], "s string")
-    assert [r[0] for r in df.select(text.modality(F.col("s"))).collect()] == ["throat", "knee", "other", "organ"]
+    assert [r[0] for r in text.add_modality(df, "s").select("modality").collect()] == ["throat", "knee", "other", "organ"]
     jobs_ = spark.createDataFrame([("-",), (None,), ("nan",), ("",), ("IV-Rentner",), ("Schüler",), ("Lehrer",), ("zzz",)], "s string")
-    assert [r[0] for r in jobs_.select(text.occupation(F.col("s"))).collect()] == [
+    assert [r[0] for r in text.add_occupation(jobs_, "s").select("occupation").collect()] == [
         "none_given", "none_given", "none_given", "unemployed", "iv_retired", "student", "employed", "other"]
     why = spark.createDataFrame([("Tumor bei Rezidiv",), ("nan",), (None,), ("LAESION",), ("q",)], "s string")
-    assert [r[0] for r in why.select(text.reason(F.col("s"))).collect()] == [
+    assert [r[0] for r in text.add_reason(why, "s").select("reason").collect()] == [
         "cancer", "none_given", "none_given", "lesion", "other"]
 
 
