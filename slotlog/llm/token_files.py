@@ -27,6 +27,14 @@ from slotlog.llm.common import id_text, slices, worker_tables
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
 
+#: Marks that end a word; the apostrophe may begin the last pre-token of one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def known_or_old(kept: Kept, part: str) -> bytes:
+    return kept[part] if part in kept.keys() else kept.old[part]
+
+
 class Kept(dict):
     """Ids of parts as bytes, None for a part that must not be cut there; parts too long to keep are in ``long`` for a while."""
 
@@ -62,6 +70,7 @@ class LibraryEncoder:
         for token, i in self.library.get_vocab().items():
             self.blank[i] = token.startswith("Ġ")
         self.kept = Kept()
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -70,20 +79,33 @@ class LibraryEncoder:
         """Make ``kept`` hold every one of ``parts``."""
         kept = self.kept
         kept.long = {}
-        new = parts.difference(kept)
-        back = new.intersection(kept.old)
-        values: dict[str, bytes | None] = {p: kept.old[p] for p in back}
-        new -= back
-        plain = [p for p in new if p and p.strip() is p and p[0] != "\0"]  # neither end is white space
-        asked = [" " + p for p in plain]
-        apart = []
-        if len(plain) < len(new):
-            for p in new.difference(plain):
+        old, known = kept.old, kept.keys()
+        new = parts.difference(known)
+        values: dict[str, bytes | None] = {}
+        plain, apart, marked = [], [], []
+        asked_for = set()
+        for p in new:
+            if p in old:
+                values[p] = old[p]
+                continue
+            stem = p.rstrip(MARKS)
+            if stem.isalpha():
+                # Letters and the marks after them are pre-tokens of their own.
+                if len(stem) < len(p):
+                    marked.append((p, stem))
+                    if stem in known or stem in old or stem in new or stem in asked_for:
+                        continue
+                asked_for.add(stem)
+                plain.append(stem)
+            elif p and p.strip() is p and p[0] != "\0":  # neither end is white space
+                plain.append(p)
+            else:
                 body = p[1:]
                 if p[:1] == "\0" or p[:1] == "\n" and body and body.strip() is body:
                     apart.append(p)
                 else:
                     values[p] = None
+        asked = [" " + p for p in plain]
         for at in range(0, len(plain), self.ASK):
             # All parts in one text: each begins with a blank and has no other, so an id that begins with a blank begins a part.
             answer = self.library.encode_batch_fast(["".join(asked[at:at + self.ASK])], add_special_tokens=False)[0].ids
@@ -93,6 +115,14 @@ class LibraryEncoder:
             values.update(zip(plain[at:at + self.ASK], (flat[x:y] for x, y in zip(starts, [*starts[1:], len(flat)], strict=True)), strict=True))
         for p in apart:
             values[p] = self.whole(p.removeprefix("\0"))
+        for p, stem in marked:
+            end = p[len(stem):]
+            if end not in self.marks:
+                self.marks[end] = self.whole(end)
+                if len(self.marks) > 10_000:
+                    self.marks = {end: self.marks[end]}
+            head = values[stem] if stem in values else known_or_old(kept, stem)
+            values[p] = head + self.marks[end]
         kept.long = {p: v for p, v in values.items() if len(p) > 64}
         for p in kept.long:
             del values[p]
