@@ -163,8 +163,13 @@ def add_no_show_before(df: DataFrame, history: DataFrame | None = None, per: Seq
         out = out.filter("is_current").drop("is_current")
     if patients:
         out = out.drop(ordered.chunk_column(["MRNCmpdId"]))
+    return add_history_rates(out)
+
+
+def add_history_rates(df: DataFrame) -> DataFrame:
+    """What follows from a patient's earlier appointments and no-shows."""
     n, a = F.col("no_show_before"), F.col("appts_before")
-    return out.withColumns({
+    return df.withColumns({
         "no_show_before_sq": n * n,
         "show_before": a - n,
         "no_show_rate": F.when(a > 0, n / a).otherwise(F.lit(0.0)),

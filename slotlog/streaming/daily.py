@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slotlog.functions.dates import minutes_between
-from slotlog.operators import features
 from slotlog.plans import live_jobs
 from slotlog.session import cut_lineage
 from slotlog.sources import files as sources
@@ -58,35 +57,26 @@ def scores(stream: DataFrame, table: str, checkpoint: str, models: Mapping[str,
            actuals: str | None = None) -> StreamingQuery:
     """Planning files to scored features, appended to the prediction table.
 
-    The files of a batch are taken one after the other in the order of the date in their name, each
-    counted against the history alone: earlier slots, and predictions of earlier files whose outcome is in
-    ``actuals`` by then. So the rows do not depend on how many files come in a batch, as long as
-    batches come in that order too. Features of all files of a batch are computed together.
+    Files count in the order of the date in their name, each against what was known by then: earlier slots, and
+    predictions of earlier files as far as outcomes are in ``actuals``. So the rows do not depend on how many files
+    come in a batch, as long as batches come in that order too. All files of a batch are one job.
     """
+    hot = live_jobs.hot_patients(history)
 
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keys = ["MRNCmpdId", "FillerOrderNo", "start_time", "NoShow"]
         new = cut_lineage(live_jobs.live_features(batch, post_codes, site, reasons, live=True), "file-features")
-        patients = new.select("MRNCmpdId").distinct()
-        earlier = cut_lineage(history.select(*keys).join(patients, "MRNCmpdId", "left_semi"), "file-history")
+        past = history.select(*keys)
         known = sources.table_or_none(spark, actuals) if actuals else None
-        if known is None:
-            # No file can tell another one anything: each is held against its own patients' history, all in one job.
-            past = earlier.join(new.select("source_file", "MRNCmpdId").distinct(), "MRNCmpdId")
-            store(spark, new, past, ["FillerOrderNo", "start_time", "source_file"])
-            return
-        names = sources.parse_file_name(new.select("source_file").distinct()).orderBy("file_date", "source_file")
-        for name in [r.source_file for r in names.select("source_file").collect()]:  # one row per daily file
-            past = earlier
-            done = sources.table_or_none(spark, table)
-            if done is not None:
-                past = past.unionByName(live_jobs.attach_late_outcome(done, known).select(*keys))
-            store(spark, new.filter(F.col("source_file") == name), past, ["FillerOrderNo", "start_time"])
-
-    def store(spark: SparkSession, own: DataFrame, past: DataFrame, same: Sequence[str]) -> None:
-        counted = features.add_no_show_before(own, live_jobs.new_rows(past, own, same), per=["source_file"] if "source_file" in past.columns else ())
-        sources.append_distinct(spark, table, live_jobs.score_batch(live_jobs.new_rows(counted, past, same), models), "start_time")
+        done = sources.table_or_none(spark, table) if known is not None else None
+        if done is not None:
+            # Files of this batch are left out, so a repeated batch sees what it saw the first time.
+            done = done.join(new.select("source_file").distinct(), "source_file", "left_anti")
+            past = past.unionByName(live_jobs.attach_late_outcome(done, known).select(*keys))
+        past = past.join(new.select("MRNCmpdId").distinct(), "MRNCmpdId", "left_semi")
+        counted = live_jobs.history_as_known(new, cut_lineage(past, "file-history"), known, hot)
+        sources.append_distinct(spark, table, live_jobs.score_batch(counted, models), "start_time")
 
     return run_batches(stream, checkpoint, handle)
 

@@ -1,4 +1,5 @@
 import os
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -215,6 +216,44 @@ def test_scores_do_not_depend_on_the_batches(spark, tmp_path, max_files, feedbac
     assert got == SCORED
 
 
+@pytest.mark.parametrize("n_files, feedback, hot", [(1, True, False), (5, True, False), (6, False, False), (9, True, True)])
+def test_history_as_known_equals_file_after_file(spark, n_files, feedback, hot):
+    """Against the plain way: one file after the other, each against what was known by then."""
+    from slotlog.operators import ordered
+
+    rng = random.Random(n_files)
+    keys = "MRNCmpdId string, FillerOrderNo long, start_time timestamp_ntz, NoShow boolean"
+    past = [(str(rng.randrange(3)), 1000 + i, day(rng.randrange(30)), rng.random() < 0.4) for i in range(40)]
+    own = []
+    for k in range(n_files):
+        for fon in rng.sample(range(40), 14):
+            own.append((f"out_{k + 1:02d}_01_2019.csv", str(fon % 3), fon, day(rng.choice([fon % 30, 10 + fon % 20])), False))
+        p = rng.choice(past)
+        own.append((f"out_{k + 1:02d}_01_2019.csv", *p[:3], False))
+    own = list(dict.fromkeys(own))
+    known = [(p, s, rng.random() < 0.5) for p, s in {(r[1], r[3]) for r in own if rng.random() < 0.6} if s < day(24)]
+    newest = max((s for _, s, _ in known), default=None)
+    outcome = {(p, s): x for p, s, x in known}
+
+    done, want = set(), []
+    for name in sorted({r[0] for r in own}):
+        mine = {(r[1], r[2], r[3]): r[4] for r in own if r[0] == name}
+        seen = {p[:3]: p[3] for p in past}
+        if feedback and newest is not None:
+            seen |= {d: outcome.get((d[0], d[2]), False) for d in done if d[2] <= newest}
+        all_ = [(s, f, p, x) for (p, f, s), x in [*mine.items(), *((k, v) for k, v in seen.items() if k not in mine)]]
+        for (p, f, s) in mine:
+            if (p, f, s) not in seen:
+                before = [x for s2, f2, p2, x in all_ if p2 == p and (s2, f2) < (s, f)]
+                want.append((name, f, s, len(before), sum(before)))
+                done.add((p, f, s))
+    got = live_jobs.history_as_known(
+        spark.createDataFrame(own, f"source_file string, {keys}"), spark.createDataFrame(past, keys),
+        spark.createDataFrame(known, "MRNCmpdId string, start_time timestamp_ntz, NoShow boolean") if feedback else None,
+        ordered.find_hot_chunks(spark.createDataFrame([r[1:] for r in own] + past, keys), ["MRNCmpdId"], ["start_time", "FillerOrderNo"], min_rows=5, rows_per_chunk=8) if hot else None)
+    assert sorted(records(got, ["source_file", "FillerOrderNo", "start_time", "appts_before", "no_show_before"])) == sorted(want)
+
+
 def test_late_outcomes_are_held_back(spark):
     preds = spark.createDataFrame([(i, "7", day(i), False) for i in range(4)],
                                   "FillerOrderNo long, MRNCmpdId string, start_time timestamp_ntz, NoShow boolean")
