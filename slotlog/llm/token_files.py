@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +28,53 @@ from slotlog.llm.common import id_text, slices, worker_tables
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
 
-#: Marks that end a word; the apostrophe may begin the last pre-token of one.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# A Latin letter and ASCII marks after it are always in two pre-tokens; the apostrophe may begin one that goes on with letters.
+MARKED = r"(?s)^(?P<stem>.*[A-Za-zÀ-ÖØ-öø-ɏ])(?P<end>[!-&(-/:-@\[-`{-~]+)$"
+# What a blank may stand before without a change to the pre-tokens behind it: no white space at either end.
+PLAIN = r"(?s)^[^\s\x00\x0b\x1c-\x1f\x{85}\p{Z}](.*[^\s\x0b\x1c-\x1f\x{85}\p{Z}])?$"
+AFTER_FEED = r"(?s)^\n[^\s\x00\x0b\x1c-\x1f\x{85}\p{Z}](.*[^\s\x0b\x1c-\x1f\x{85}\p{Z}])?$"
 
 
-def known_or_old(kept: Kept, part: str) -> bytes:
-    return kept[part] if part in kept.keys() else kept.old[part]
+class Ids:
+    """Id lists one after the other: list i is ``flat[start[i]:start[i] + size[i]]``; size -1 marks a part that must not be cut there."""
 
+    def __init__(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.flat, self.start, self.size = flat, start, size
 
-class Kept(dict):
-    """Ids of parts as bytes, None for a part that must not be cut there; parts too long to keep are in ``long`` for a while."""
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ids:
+        size = np.array([len(x) for x in lists], np.int64)
+        return cls(np.array([i for x in lists for i in x], np.int32), np.cumsum(size) - size, size)
 
-    def __init__(self):
-        super().__init__()
-        self.old, self.long = {}, {}
+    @classmethod
+    def unsafe(cls, n: int) -> Ids:
+        return cls(np.zeros(0, np.int32), np.zeros(n, np.int64), np.full(n, -1, np.int64))
 
-    def __missing__(self, part):
-        return self.long[part]
+    def take(self, at: np.ndarray) -> Ids:
+        """Some of the lists; those without a place (-1) are unsafe ones."""
+        size = np.where(at >= 0, self.size[at], -1) if len(self.size) else np.full(len(at), -1, np.int64)
+        return Ids(self.flat, self.start[at] if len(self.size) else np.zeros(len(at), np.int64), size)
+
+    def packed(self) -> Ids:
+        size = np.maximum(self.size, 0)
+        stop = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        return Ids(flat, stop - size, self.size)
+
+    @staticmethod
+    def joined(parts: list[Ids]) -> Ids:
+        """The lists of all under each other."""
+        shift = np.cumsum([0, *(len(p.flat) for p in parts)])
+        return Ids(np.concatenate([p.flat for p in parts]), np.concatenate([p.start + s for p, s in zip(parts, shift, strict=False)]),
+                   np.concatenate([p.size for p in parts]))
 
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them; parts of texts recur, so the library is asked once for each new part.
 
     Texts are cut only at single blanks and line feeds between other characters, where the library's
-    own splitting ends a pre-token in any case. Any other text goes to the library as a whole.
+    own splitting ends a pre-token in any case. Any other text goes to the library as a whole. Arrow cuts the texts and looks up
+    the different parts, numpy puts their ids together; Python sees neither texts nor parts one by one but those the library has to be asked for.
     Parts are kept in two generations, so memory stays bounded whatever the texts hold.
     """
 
@@ -69,81 +93,99 @@ class LibraryEncoder:
         self.blank = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.blank[i] = token.startswith("Ġ")
-        self.kept = Kept()
-        self.marks: dict[str, bytes] = {}
+        nothing = pa.array([], pa.large_string()), Ids.unsafe(0)
+        self.young, self.old = nothing, nothing
 
     def whole(self, text: str) -> bytes:
         return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        """Make ``kept`` hold every one of ``parts``."""
-        kept = self.kept
-        kept.long = {}
-        old, known = kept.old, kept.keys()
-        new = parts.difference(known)
-        values: dict[str, bytes | None] = {}
-        plain, apart, marked = [], [], []
-        asked_for = set()
-        for p in new:
-            if p in old:
-                values[p] = old[p]
-                continue
-            stem = p.rstrip(MARKS)
-            if stem.isalpha():
-                # Letters and the marks after them are pre-tokens of their own.
-                if len(stem) < len(p):
-                    marked.append((p, stem))
-                    if stem in known or stem in old or stem in new or stem in asked_for:
-                        continue
-                asked_for.add(stem)
-                plain.append(stem)
-            elif p and p.strip() is p and p[0] != "\0":  # neither end is white space
-                plain.append(p)
-            else:
-                body = p[1:]
-                if p[:1] == "\0" or p[:1] == "\n" and body and body.strip() is body:
-                    apart.append(p)
-                else:
-                    values[p] = None
-        asked = [" " + p for p in plain]
-        for at in range(0, len(plain), self.ASK):
-            # All parts in one text: each begins with a blank and has no other, so an id that begins with a blank begins a part.
-            answer = self.library.encode_batch_fast(["".join(asked[at:at + self.ASK])], add_special_tokens=False)[0].ids
+    def apart(self, texts: list[str]) -> Ids:
+        """The ids of short texts, each on its own."""
+        lists = []
+        for at in range(0, len(texts), self.ASK):
+            lists += [e.ids for e in self.library.encode_batch_fast(texts[at:at + self.ASK], add_special_tokens=False)]
+        return Ids.of(lists)
+
+    def behind_blanks(self, words: list[str]) -> Ids:
+        """The ids of words with a blank before each; neither end of a word is white space."""
+        flats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), self.ASK):
+            # All words in one text: each begins with a blank and has no other, so an id that begins with a blank begins a word.
+            answer = self.library.encode_batch_fast([" " + " ".join(words[at:at + self.ASK])], add_special_tokens=False)[0].ids
             ids = np.fromiter(answer, np.int32, len(answer))
-            starts = (4 * np.flatnonzero(self.blank[ids])).tolist()
-            flat = ids.tobytes()
-            values.update(zip(plain[at:at + self.ASK], (flat[x:y] for x, y in zip(starts, [*starts[1:], len(flat)], strict=True)), strict=True))
-        for p in apart:
-            values[p] = self.whole(p.removeprefix("\0"))
-        for p, stem in marked:
-            end = p[len(stem):]
-            if end not in self.marks:
-                self.marks[end] = self.whole(end)
-                if len(self.marks) > 10_000:
-                    self.marks = {end: self.marks[end]}
-            head = values[stem] if stem in values else known_or_old(kept, stem)
-            values[p] = head + self.marks[end]
-        kept.long = {p: v for p, v in values.items() if len(p) > 64}
-        for p in kept.long:
-            del values[p]
-        if len(kept) + len(values) > self.MOST:
-            # What this batch needs comes along; the rest becomes the old generation.
-            kept.old = dict(kept)
-            kept.clear()
-            kept.update((p, kept.old[p]) for p in parts.intersection(kept.old))
-        kept.update(values)
+            flats.append(ids)
+            sizes.append(np.diff(np.append(np.flatnonzero(self.blank[ids]), len(ids))))
+        size = np.concatenate(sizes)
+        return Ids(np.concatenate(flats), np.cumsum(size) - size, size)
+
+    def asked(self, parts: pa.Array) -> Ids:
+        """The ids of different parts that no generation has, each as it stands behind a blank."""
+        out_start, out_size, flats = np.zeros(len(parts), np.int64), np.full(len(parts), -1, np.int64), []
+
+        def put(at: np.ndarray, ids: Ids) -> None:
+            out_start[at], out_size[at] = ids.start + sum(map(len, flats)), ids.size
+            flats.append(ids.flat)
+
+        first = pc.starts_with(parts, "\0")
+        plain = pc.match_substring_regex(parts, PLAIN)
+        cut = pc.extract_regex(pc.if_else(plain, parts, None), MARKED)
+        marked = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
+        simple = np.flatnonzero(pc.and_not(plain, cut.is_valid()).to_numpy(zero_copy_only=False))
+        stems, ends = cut.field("stem").take(pa.array(marked)), cut.field("end").take(pa.array(marked))
+        words = pc.unique(pa.chunked_array([parts.take(pa.array(simple)), stems]))
+        ids, tails = self.behind_blanks(words.to_pylist()), pc.unique(ends)
+        put(simple, ids.take(pc.index_in(parts.take(pa.array(simple)), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)).packed())
+        head = ids.take(pc.index_in(stems, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64))
+        tail = self.apart(tails.to_pylist()).take(pc.index_in(ends, value_set=tails).to_numpy(zero_copy_only=False).astype(np.int64))
+        both = Ids.joined([head, tail])
+        pairs = both.take(np.arange(2 * len(marked)).reshape(2, -1).T.ravel()).packed()
+        put(marked, Ids(pairs.flat, pairs.start[::2], head.size + tail.size))
+        lone = np.flatnonzero(pc.or_(first, pc.match_substring_regex(parts, AFTER_FEED)).to_numpy(zero_copy_only=False))
+        put(lone, self.apart([t.removeprefix("\0") for t in parts.take(pa.array(lone)).to_pylist()]))
+        return Ids(np.concatenate(flats), out_start, out_size)
+
+    def values(self, parts: pa.Array) -> Ids:
+        """The ids of different parts, each as it stands behind a blank."""
+        n = len(parts)
+        found, left, place = [], np.arange(n), np.zeros(n, np.int64)
+        for names, ids in (self.young, self.old):
+            at = pc.index_in(parts.take(pa.array(left)), value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+            place[left[at >= 0]] = np.arange((at >= 0).sum()) + sum(len(f.size) for f, _ in found)
+            found.append((ids.take(at[at >= 0]), left[at >= 0]))
+            left = left[at < 0]
+        new = parts.take(pa.array(left))
+        place[left] = np.arange(len(left)) + sum(len(f.size) for f, _ in found)
+        found.append((self.asked(new), left))
+        # What came from the old generation or the library is kept on in the young one, but for very long parts.
+        names, ids = [self.young[0]], [self.young[1]]
+        for f, where in found[1:]:
+            short = pc.less_equal(pc.utf8_length(parts.take(pa.array(where))), 64).to_numpy(zero_copy_only=False)
+            names.append(parts.take(pa.array(where[short])))
+            ids.append(f.take(np.flatnonzero(short)).packed())
+        out = Ids.joined([f for f, _ in found]).take(place)
+        young = pa.concat_arrays(names), Ids.joined(ids)
+        if len(young[0]) > self.MOST:
+            self.old, young = young, (young[0][:0], Ids.unsafe(0))
+        self.young = young
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers, one after the other."""
-        cut = [None if any(s in t for s in self.special) or "\0" in t else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
-        self.learn(set().union(*(c for c in cut if c is not None)))
-        out, ids_of = [], self.kept.__getitem__
-        for text, parts in zip(texts, cut, strict=True):
-            try:
-                out.append(self.whole(text) if parts is None else b"".join(map(ids_of, parts)))
-            except TypeError:  # a part that must not be cut there
-                out.append(self.whole(text))
-        return out
+        safe = [i for i, t in enumerate(texts) if "\0" not in t and not any(s in t for s in self.special)]
+        out: list[bytes | None] = [None] * len(texts)
+        if safe:
+            cut = pc.replace_substring(pa.array(["\0" + texts[i] for i in safe], pa.large_string()), "\n", " \n")
+            cut = pc.split_pattern(cut, " ")
+            parts = cut.flatten().dictionary_encode()
+            lists = self.values(parts.dictionary).take(parts.indices.to_numpy().astype(np.int64))
+            flat = lists.packed().flat.tobytes()
+            first = cut.offsets.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(np.maximum(lists.size, 0))])[first]
+            bad = np.add.reduceat(lists.size < 0, first[:-1]) > 0  # every text has a part
+            for i, a, b, again in zip(safe, ends[:-1].tolist(), ends[1:].tolist(), bad.tolist(), strict=True):
+                if not again:
+                    out[i] = flat[4 * a:4 * b]
+        return [self.whole(t) if o is None else o for t, o in zip(texts, out, strict=True)]
 
 
 def encoder(path: str) -> LibraryEncoder:
