@@ -106,17 +106,17 @@ class Codec:
         self.vocab = Vocabulary(path)
         self.inner = inner_pairs(self.vocab)
         self.fragments = Table(self._fragment)
-        self.parts = Parts(self._word, lambda values: list(chain.from_iterable(values)))
+        self.parts = Parts(self._word, lambda values: tuple(chain.from_iterable(values)))
         self.digits = [str(i) for i in range(len(self.vocab.tokens))]
 
     def _fragment(self, data: bytes) -> list[int]:
         return (encode_fragment if len(data) < LONG else encode_long)(data, self.vocab)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         cut = fragments(word.encode(), self.inner)
         if len(cut) == 1:
-            return self._fragment(cut[0])
-        return list(chain.from_iterable(map(self.fragments.__getitem__, cut)))
+            return tuple(self._fragment(cut[0]))
+        return tuple(chain.from_iterable(map(self.fragments.__getitem__, cut)))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

@@ -67,6 +67,7 @@ def worker_tables(name: str, key: Any, make: Callable[[], Any]) -> Any:
         _tables.clear()
         give_back()
         _tables[name, key] = make()
+        give_back()
     return _tables[name, key]
 
 

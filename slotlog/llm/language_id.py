@@ -14,15 +14,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotlog.llm.common import held_out, id_text, keep_texts, per_document, sampled, slices
 
+if TYPE_CHECKING:  # a worker that reads texts only does without it
+    import pandas as pd
+
 PROFILE = 300
 MARK = ord("_")
 

@@ -26,9 +26,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,9 @@ from slotlog.llm.bpe import Table
 from slotlog.llm.common import id_text, join_groups, only_ids, slices, worker_tables
 from slotlog.session import cut_lineage
 
+if TYPE_CHECKING:  # a worker that reads texts only does without it
+    import pandas as pd
+
 WORDS = 5
 #: Members of a bucket that gives its pairs one by one.
 SMALL = 64
@@ -194,6 +197,8 @@ def large_bucket_links(members: DataFrame, sets: DataFrame, threshold: float) ->
     dealt = dealt.select("bucket", "rep", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         key, i, j = int(pdf["bucket"].iloc[0]), pdf["i"].iloc[0], pdf["j"].iloc[0]
         block = pdf["block"].to_numpy()
         left = np.flatnonzero(block == i)
