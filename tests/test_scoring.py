@@ -172,8 +172,10 @@ def test_registered_importance_covers_all_features_and_repeats(spark, monkeypatc
     from slotlog.registry import model_queries as Q
 
     seen = []
-    monkeypatch.setattr(Q.M, "permutation_importance", lambda model, df, columns, identity, repeats=10: seen.append((columns, repeats)) or spark.range(1))
-    monkeypatch.setattr(Q.M, "train", lambda *a: None)
-    monkeypatch.setattr(Q, "training", lambda spark, sf: None)
+    found = spark.createDataFrame([("x", 0, 1.0)], "feature string, repeat long, importance double")
+    monkeypatch.setattr(Q.M, "permutation_importance", lambda model, df, columns, identity, repeats=10: seen.append((df, columns, repeats)) or found)
+    monkeypatch.setattr(Q.M, "train", lambda rows, *a: seen.append(rows))
+    monkeypatch.setattr(Q, "halves", lambda spark, sf: {"train": "training rows", "test": "test rows"})
     registry.QUERIES["permutation_importance"](spark, "")
-    assert seen == [([*Q.NUMERIC, *Q.CATEGORICAL, "month"], 10)]
+    every = [*Q.NUMERIC, *Q.CATEGORICAL, "month"]
+    assert seen == ["training rows", ("training rows", every, 10), ("test rows", every, 10)]
