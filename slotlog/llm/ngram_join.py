@@ -17,7 +17,7 @@ Result, one row per document: doc_id, copy_of (first document with the same shin
 hang together by links of at least the threshold), n_links (number of other distinct shingle sets it is linked with).
 
 Defined results: a text of fewer than five words has one shingle of all of them; a null text or one without words is linked
-with nothing; a null id gives a row of its own with null classes; repeated ids are copies of each other if their texts are; an
+with nothing; a null id gives a row of its own with null classes; each row under a repeated id goes by its own text; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -117,23 +117,28 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for part in slices(batch, 1):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    part.column(0), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signer.keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "set_key", "n", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, set_key binary, n long, keys array<long>")
 
 
+def digest(shingle_set: np.ndarray) -> bytes:
+    return blake2b(shingle_set.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep and its whole shingle set."""
+    """The whole shingle set of every text and its digest ``set_key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                                                 names=["set_key", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return docs.mapInArrow(run, "set_key binary, shingles array<long>")
 
 
 def block_links(key: int, reps: np.ndarray, sets: list[np.ndarray], large: list[np.ndarray], left: np.ndarray, right: np.ndarray,
@@ -236,8 +241,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     signed = cut_lineage(signatures(plain, bands, rows), "near-signatures")
     named = signed.filter("doc_id is not null")
     sets_of = named.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = cut_lineage(sets_of, "near-sets")
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # Ids may repeat with different texts, so each set has a number of its own.
+    reps = cut_lineage(sets_of.withColumn("rep", F.monotonically_increasing_id()), "near-sets")
 
     places = reps.select("rep", "n", F.explode("keys").alias("bucket"))
     crowded = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -255,7 +261,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     in_large = members.filter(F.col("m") > SMALL)
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(in_large.select("rep")).distinct()
-    sets = cut_lineage(shingle_sets(only_ids(plain, wanted, "rep")).dropDuplicates(["rep"]), "near-shingles")
+    wanted = cut_lineage(reps.join(wanted, "rep").select("rep", "set_key", "first_id"), "near-wanted")
+    read = only_ids(plain, wanted.select("first_id").distinct(), "first_id")
+    sets = cut_lineage(shingle_sets(read).join(wanted.select("rep", "set_key"), "set_key").drop("set_key").dropDuplicates(["rep"]), "near-shingles")
     common = F.size(F.array_intersect("s_a", "s_b"))
     verified = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a")
                 .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
@@ -268,9 +276,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
              .groupBy("rep").agg(F.sum("links").alias("n_links")))
     classes = components(verified.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         blocked.select(F.col("rep").alias("u"), F.col("root").alias("v"))))
-    groups = reps.select("set_key", "rep", "size").join(classes.withColumnsRenamed({"u": "rep", "c": "class_id"}), "rep", "left").join(links, "rep", "left")
-    groups = cut_lineage(groups.select(F.col("set_key"), F.col("rep").alias("copy_of"), "size", F.coalesce("class_id", "rep").alias("class_id"),
-                                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-classes")
+    linked = cut_lineage(reps.select("rep", "first_id").join(classes.withColumnRenamed("u", "rep"), "rep"), "near-classes")
+    smallest = linked.groupBy("c").agg(F.min("first_id").alias("class_id"))
+    linked = linked.join(smallest, "c").select("rep", "class_id")
+    groups = reps.select("set_key", "rep", "first_id", "size").join(linked, "rep", "left").join(links, "rep", "left")
+    groups = cut_lineage(groups.select(F.col("set_key"), F.col("first_id").alias("copy_of"), "size", F.coalesce("class_id", "first_id").alias("class_id"),
+                                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-groups")
     joined = join_groups(named.filter("set_key is not null").select("doc_id", "set_key"), groups, "set_key", "size")
     alone = signed.filter("doc_id is null or set_key is null")
     return joined.select("doc_id", "copy_of", "class_id", "n_links").unionByName(

@@ -241,6 +241,130 @@ def test_shorter_quotes_with_a_finer_grid():
     assert 1 in decontaminate.Index([(1, item)], 0.08, (*decontaminate.GRIDS, (30, 5))).matches(quote)
 
 
+# ------------------------------------------------------------------ n-gram join, further cases
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    rng = random.Random(7)
+    a, b = words(rng, 100), words(rng, 100)
+    near = lambda x: " ".join([*x[:50], "changed", *x[51:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a))]
+    got = {}
+    for r in ngram_join.near_duplicates(frame(spark, [t for _, t in rows], [d for d, _ in rows])).collect():
+        got.setdefault(r.doc_id, []).append((r.copy_of, r.class_id, r.n_links))
+    assert got == {1: [(1, 1, 1), (1, 1, 1)], 2: [(2, 1, 1)], 3: [(3, 1, 1)]}
+
+
+def test_links_of_stated_rows_against_all_rows(spark):
+    """Recall: every row with an id divisible by 50, against all rows by brute force, in the given documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {d: shingle_set(t) for d, t in docs.collect()}
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
+    compared = 0
+    for d in (d for d in sets if d % 50 == 0 and sets[d]):
+        near = {s for s in sets.values() if s and s != sets[d] and len(s & sets[d]) / len(s | sets[d]) >= 0.8}
+        assert got[d].n_links == len(near)
+        compared += 1
+        for e, s in sets.items():
+            if s in near or s == sets[d]:
+                assert got[e].class_id == got[d].class_id
+    assert compared > 10
+
+
+# ------------------------------------------------------------------ classifiers by plain recomputation
+
+def is_held_out(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+
+
+def test_toxicity_score_is_the_average_through_the_softmax():
+    """The served number per table row, averaged by words, through the softmax written out."""
+    rng = np.random.default_rng(3)
+    known = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(known[:30] if y else known[30:], 20)) for y in (0, 1) * 40]
+    model = toxicity.train(texts, np.array([0, 1] * 40), epochs=3)
+    scorer = toxicity.Scorer(model)
+    for text in [*texts[:10], "", "unseen words only", "x" * 500, "abc " * 3000, "!!! ..."]:
+        tokens = toxicity.words_of(text)
+        total = 0.0
+        for t in tokens:
+            ids = toxicity.subwords(t)
+            total += sum(float(model.weights[i]) for i in ids) / len(ids) if ids else 0.0
+        odds = model.constant + (total / len(tokens) if tokens else 0.0)
+        assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
+    assert np.mean([(scorer.score(t) > 0.5) == (i % 2) for i, t in enumerate(texts)]) > 0.9
+
+
+def test_languages_by_a_literal_out_of_place_distance(spark):
+    from collections import Counter
+
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "mnopqrst"}
+    rows = [(i, " ".join(words(rng, 30, alphabets[lang])), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    docs = frame(spark, [t for _, t, _ in rows], langs=[lang for *_, lang in rows])
+
+    def grams(text):
+        line = "_" + "_".join(text.split()) + "_"
+        found = Counter(c for c in line if c != "_")
+        for n in (2, 3):
+            found.update(line[i:i + n] for i in range(len(line) - n + 1))
+        return found
+
+    def packed(g):
+        n = 0
+        for c in g:
+            n = n << 21 | ord(c)
+        return n
+
+    most, profiles = language_id.PROFILE, {}
+    for lang in alphabets:
+        total = Counter()
+        for d, t, x in rows:
+            if x == lang and not is_held_out(d):
+                total.update(grams(t))
+        profiles[lang] = {g: i for i, (g, _) in enumerate(sorted(total.items(), key=lambda kv: (-kv[1], packed(kv[0])))[:most])}
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    for d, t, _ in rows:
+        counts = grams(t)
+        place = {g: sum(n > m for n in counts.values()) for g, m in counts.items()}
+        own = {g: p for g, p in place.items() if p < most}
+        far = {x: sum(abs(p - prof[g]) if g in prof else most for g, p in own.items()) for x, prof in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert (got[d].lang_pred, got[d].held_out) == (best, is_held_out(d))
+        assert got[d].score == pytest.approx(1 - far[best] / (most * len(own)))
+    assert np.mean([got[d].lang_pred == lang for d, _, lang in rows]) > 0.95
+
+
+def test_quality_on_rows_that_are_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.score(docs, quality.learn(docs, labels)).join(labels, "doc_id").collect()
+    assert all(r.held_out == is_held_out(r.doc_id) for r in rows)
+    held = [(r.score, r.quality) for r in rows if r.held_out]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert len(held) > 50 and np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean([(s >= 0.7) == (y == 1) for s, y in held]) > 0.85
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_every_stage_takes_an_empty_table_and_odd_names(spark, stage):
+    docs = frame(spark, ["some text"]).limit(0).withColumnsRenamed({"rep": "row", "bucket": "__row"})
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert out.count() == 0 and (stage == 4 or out.columns == docs.columns)
+
+
+def test_a_column_named_row_stays(spark):
+    docs = frame(spark, ["a b c", "a b c", "d e f"], ids=[2, 1, None]).withColumnsRenamed({"rep": "row", "bucket": "__row"})
+    out = corpus_pipeline.drop_exact_copies(spark, docs, SF)
+    assert out.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0, r["row"], r["__row"]) for r in out.collect()) == [(False, 1, 7, 1), (True, 0, 7, 1)]
+
+
+def test_empty_tables(spark):
+    none = frame(spark, ["x"]).limit(0)
+    assert exact_dedup.dedup_table(none).count() == ngram_join.near_duplicates(none).count() == 0
+    assert language_id.predict(none, language_id.learn(none)).count() == 0
+    assert quality.score(none, quality.learn(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
 # ------------------------------------------------------------------ lines
 
 def one_edit(a, b):
