@@ -95,11 +95,13 @@ def _(spark, sf):
                                             F.col("prediction_logistic").between(0, 1).alias("is_probability"))
 
 
-def write_out_of_order(df, path, part):
-    """Three files that a stream takes one by one, newest days first, so that most rows come late; some rows twice."""
+def fed_out_of_order(df, part, run):
+    """Writes ``df`` to a folder in three turns, newest days first, so that most rows come late, and lets a stream work off the new files after each."""
+    path = work_dir(df.sparkSession, "arrivals")
     for i in range(3):
         rows = df.filter(part == F.lit(i)).withColumn("arrival", F.lit(i).cast("long"))
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
+        run(df.sparkSession.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 def newest_first(time):
@@ -111,13 +113,11 @@ def newest_first(time):
 @query("stream_dedup_actuals", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type, "
        "date_trunc('day', ts) as d from events) group by 1, 2")
 def _(spark, sf):
-    path, table = work_dir(spark, "events"), work_dir(spark, "deduped")
+    table, checkpoint = work_dir(spark, "deduped"), work_dir(spark, "checkpoint")
     e = C.table(spark, sf, "events").withColumn("start_time", F.date_trunc("day", "ts"))
     again = e.filter("event_id % 5 = 0")
-    write_out_of_order(e.unionByName(again), path, newest_first("ts"))
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    daily.dedup_actuals(stream, table, work_dir(spark, "checkpoint"), ["user_id", "event_type", "start_time"],
-                        order=["arrival", "event_id"]).awaitTermination()
+    fed_out_of_order(e.unionByName(again), newest_first("ts"), lambda stream: daily.dedup_actuals(
+        stream, table, checkpoint, ["user_id", "event_type", "start_time"], order=["arrival", "event_id"]))
     return spark.read.parquet(table).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,11 +125,8 @@ def _(spark, sf):
   round(sum(date_diff('microsecond', image_start, image_end) / 60e6), 6) as active_minutes, count(*) as appointments""", "v",
   "group by 1, 2"))
 def _(spark, sf):
-    path, table = work_dir(spark, "intervals"), work_dir(spark, "utilisation")
-    df = C.intervals(spark, sf)
-    write_out_of_order(df, path, newest_first("image_start"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    daily.daily_active(stream, table, work_dir(spark, "checkpoint")).awaitTermination()
+    table, checkpoint = work_dir(spark, "utilisation"), work_dir(spark, "checkpoint")
+    fed_out_of_order(C.intervals(spark, sf), newest_first("image_start"), lambda stream: daily.daily_active(stream, table, checkpoint))
     return daily.daily_totals(spark, table)
 
 
