@@ -493,6 +493,36 @@ def test_toxicity_settings():
     assert inspect.signature(toxicity.fit).parameters["epochs"].default == 8
 
 
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = frame(spark, [f"text {i}" for i in range(64)])
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    want = {i for i in range(64) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.doc_id for r in labelled_sample(docs, labels, "quality", 12_000).collect()} == want
+
+
+def test_preferences_by_plain_recomputation():
+    """Served scores are the learned function: standardised, clipped, weighed, and cut at the quantile of the share of bad rows."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(0, 1, (300, 4)), rng.normal(1.5, 1, (300, 4))])
+    rows[0, 2], rows[599, 1] = 500, -500  # far out: clipped in learning and in serving
+    labels = np.array([0] * 300 + [1] * 300)
+    model = quality.train(rows, labels)
+    z = np.clip((rows - rows.mean(axis=0)) / rows.std(axis=0), -8, 8)
+    raw = z @ model.weights
+    assert model.raw(rows) == pytest.approx(raw, abs=1e-6)
+    assert model.cut == pytest.approx(np.quantile(raw, 0.5))
+    want = 1 / (1 + np.exp(-(np.log(0.7 / 0.3) + (raw - model.cut) / model.spread)))
+    assert model.score(rows) == pytest.approx(want)
+    # The weights are at the minimum of the logistic loss of feature differences, up to the ridge.
+    good, bad = z[300:], z[:300]
+    pairs = good[rng.integers(0, 300, 20_000)] - bad[rng.integers(0, 300, 20_000)]
+
+    def loss(w):
+        return np.log1p(np.exp(-pairs @ w)).mean() + 5e-4 * (w**2).sum()
+
+    assert all(loss(model.weights) <= loss(model.weights + step) + 1e-3 for step in rng.normal(0, 0.3, (30, 4)))
+
+
 def test_sample_is_bounded_and_fixed(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in sampled(ids, 500).collect()}
