@@ -107,12 +107,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     """doc_id, text and label of about ``max_rows`` labelled rows at most, none of them held out.
 
     Texts may be of any length; what is to be learned from them is computed in tasks and then fetched by ``fetched``.
-    The labels are narrowed down first, so the broadcast side has a bounded number of ids and numbers.
-    A document with several labels gets the largest, one with several rows its smallest text.
+    Labels of documents that are not there are left out before the sample is drawn; for that only ids are shuffled.
+    The sample is broadcast, a bounded number of ids and numbers. A document with several labels gets the largest, one with several rows its smallest text.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    marks = sampled(marks.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows)
+    from slotlog.session import cut_lineage
+
+    there = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
+    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label")).join(there, "doc_id", "left_semi")
+    marks = sampled(cut_lineage(marks, "labels"), max_rows)
     found = id_text(docs).join(F.broadcast(marks), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
