@@ -1,5 +1,6 @@
 """Token counts, codec and token files against the tokenizers library."""
 
+import os
 import random
 import zlib
 from hashlib import sha256
@@ -112,3 +113,32 @@ def test_queries_over_whole_table(spark, library, name):
     assert len(rows) == len(texts)
     extra = name.startswith("op9")
     assert all(r.n_tokens == len(ids_of(library, texts[r.doc_id])) + extra for r in rows)
+
+
+def test_files_have_row_indexes_and_bloom_filters_and_a_look_up_skips_rows(spark, tmp_path):
+    """Integer run lengths, a row index and a Bloom filter on the ids in every stripe; a look-up by id reads one row group of many."""
+    out = str(tmp_path / "tokens")
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat('text ', id) as text")
+    token_files.write(docs, TOKENIZER, out, shards=1)
+    jvm = spark.sparkContext._jvm
+    conf, footers = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in sorted(p for p in os.listdir(out) if p.endswith(".orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"{out}/{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        ids = next(i for i, c in enumerate(reader.getSchema().getFieldNames(), 1) if c == "doc_id")
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            footers.append({footer.getStreams(k).getKind().toString() for k in range(footer.getStreamsCount()) if footer.getStreams(k).getColumn() == ids})
+            assert footer.getColumns(ids).getKind().toString() == "DIRECT_V2"  # integer run-length encoding, second version
+    assert footers and all("ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds) for kinds in footers)
+
+    def rows_read(condition):
+        df = spark.read.schema(token_files.SCHEMA).orc(out).filter(condition)
+        found = df.collect()
+        return len(found), df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    found, read = rows_read("doc_id = 20000")
+    assert found == 1 and read <= 5000 < 20_000
+    # An id within the range of a row group that no row has: minimum and maximum would not tell, the Bloom filter does.
+    found, read = rows_read("doc_id = 20001")
+    assert found == 0 and read <= 5000
