@@ -289,11 +289,19 @@ def _(spark, sf):
     return out.select("l_orderkey", "l_linenumber", *[v[i].alias(n) for i, n in enumerate(names)])
 
 
+def halves(spark, sf):
+    """Training and test rows, as ``split_train_validation`` marks them."""
+    df = cut_lineage(scoring.split_train_validation(training(spark, sf), ROW, 0.2), "train-test")
+    return {"train": df.filter("part = 'train'").drop("part"), "test": df.filter("part = 'validation'").drop("part")}
+
+
 def _fit(spark, sf, estimator):
-    df = training(spark, sf)
-    model = M.train(df, stages(), estimator)
-    out = scoring.positive_probability(model.transform(df))
-    return scoring.classification_metrics(out.select(F.lit("m").alias("model"), F.col("label").cast("long").alias("label"), "score"))
+    """Metrics of a model on the rows it was trained on and on those held out, told apart by ``model``."""
+    parts = halves(spark, sf)
+    model = M.train(parts["train"], stages(), estimator)
+    scored_ = [scoring.positive_probability(model.transform(df)).select(F.lit(part).alias("model"), F.col("label").cast("long").alias("label"), "score")
+               for part, df in parts.items()]
+    return scoring.classification_metrics(scored_[0].unionByName(scored_[1]))
 
 
 @query("train_logistic")
@@ -341,12 +349,6 @@ def _(spark, sf):
     return live_jobs.score_batch(df, M.load_models(list(models), folder)).select("l_orderkey", "l_linenumber", "prediction_logistic", "prediction_forest")
 
 
-def halves(spark, sf):
-    """Training and test rows, as ``split_train_validation`` marks them."""
-    df = cut_lineage(scoring.split_train_validation(training(spark, sf), ROW, 0.2), "train-test")
-    return {"train": df.filter("part = 'train'").drop("part"), "test": df.filter("part = 'validation'").drop("part")}
-
-
 @query("permutation_importance")
 def _(spark, sf):
     parts = halves(spark, sf)
