@@ -85,24 +85,32 @@ def positive_rate(df: DataFrame, target: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("frequencies"), F.avg(F.col(target).cast("long")).alias("rate"))
 
 
-def lengths_by_type(df: DataFrame, exclude: str | None = None, max_minutes: float = 1000.0) -> DataFrame:
-    """Box-plot numbers of the appointment length per service, exact quartiles.
+def lengths_by(df: DataFrame, variable: str, group: str | None = None, max_minutes: float = 1000.0) -> DataFrame:
+    """Box-plot numbers of the appointment length for each value of a column, and of a second one if given; exact quartiles.
 
-    Quartiles need an order per service: equal lengths are counted first, then running
-    counts find the ranks, so a frequent service is never collected in one task.
+    Quartiles need an order per group: equal lengths are counted first, then running
+    counts find the ranks, so a frequent value is never collected in one task. All numbers come from the counted lengths, so the
+    table is read once. A null value is a group like any other.
     """
     length = minutes_between(F.col("image_start"), F.col("image_end"))
     df = df.filter(F.col("image_start").isNotNull()).withColumn("len", length).filter(F.col("len") < max_minutes)
+    c = F.col
+    return exact_quantiles(df, [variable, *([group] if group else [])], "len", {"q1": 0.25, "median": 0.5, "q3": 0.75}, {
+        "n": F.sum("n"), "mean": F.sum(c("len") * c("n")) / F.sum("n"), "min": F.min("len"), "max": F.max("len")})
+
+
+def lengths_by_type(df: DataFrame, exclude: str | None = None, max_minutes: float = 1000.0) -> DataFrame:
+    """``lengths_by`` the service, without one of them."""
     if exclude is not None:
         df = df.filter(~rules.holds(F.col("UniversalServiceName") == exclude))
-    stats = df.groupBy("UniversalServiceName").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), F.min("len").alias("min"), F.max("len").alias("max"))
-    quart = exact_quantiles(df, ["UniversalServiceName"], "len", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return stats.join(quart, "UniversalServiceName")
+    return lengths_by(df, "UniversalServiceName", max_minutes=max_minutes)
+
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], stats: dict[str, Column] | None = None) -> DataFrame:
+    """Exact interpolated quantiles per key from running counts over the distinct values.
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per key from running counts over the distinct values."""
+    ``stats`` are further aggregates per key over rows of a distinct ``value`` and its count ``n``.
+    """
     c = F.col
     present = df.filter(c(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +121,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     counts = ordered.with_ordered(counts, keys, [value],
                                   {"below": ordered.sum_before(c("n")), "total": ordered.key_sum(c("n"))})
     covers = lambda i: (i >= c("below")) & (i < c("below") + c("n"))
-    aggs = []
+    aggs = [e.alias(name) for name, e in (stats or {}).items()]
     for name, q in quantiles.items():
         at = (c("total") - 1) * F.lit(q)
         lo, hi = F.floor(at), F.ceil(at)

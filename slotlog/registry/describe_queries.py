@@ -81,6 +81,15 @@ def _(spark, sf):
     return describe.lengths_by_type(df, exclude="MR Herz")
 
 
+@query("appt_len_by_weekday_and_device", select(f"""{V}, l as (select *, dayname(image_start) as weekday,
+  date_diff('microsecond', image_start, image_end) / 60e6 as len from v)""", """weekday, cast(image_device_id as bigint) as image_device_id, count(*) as n,
+  round(avg(len), 6) as mean, round(min(len), 6) as min, round(max(len), 6) as max, round(quantile_cont(len, 0.25), 6) as q1,
+  round(quantile_cont(len, 0.5), 6) as median, round(quantile_cont(len, 0.75), 6) as q3""", "l", "where len < 1000 group by weekday, image_device_id"))
+def _(spark, sf):
+    df = C.intervals(spark, sf).withColumn("weekday", F.date_format("image_start", "EEEE"))
+    return describe.lengths_by(df, "weekday", "image_device_id")
+
+
 P = f"p as ({C.score_sql(C.DUCK)})"
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "score"]
 
