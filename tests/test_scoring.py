@@ -156,6 +156,20 @@ def test_unknown_category_is_all_zero(spark):
     assert [r[0] for r in out.select(vector_to_array("features")).collect()] == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
 
 
+def test_scores_by_expression_are_those_of_the_model(spark):
+    rows = [(i, float(i % 7), float(i * i % 11), "abc"[i % 3], i % 12 + 1, int(i % 7 + i % 3 > 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, k string, month int, label int")
+    model = M.train(df, M.feature_stages(["x", "z"], ["k"], {"month": (12, 1)}), M.logistic())
+    assert M._margin(model.stages) is not None
+    new = df.unionByName(spark.createDataFrame([(900, 3.0, 1.0, "never seen", 5, 0), (901, 3.0, 1.0, None, 5, 0)], df.schema))
+    both = M.scorer(model)(new).select("id", "score").join(S.positive_probability(model.transform(new), name="want").select("id", "want"), "id").collect()
+    assert len(both) == 202 and all(r.score == pytest.approx(r.want, abs=1e-12) for r in both)
+    with pytest.raises(Exception, match="null or NaN"):
+        M.scorer(model)(df.withColumn("x", F.lit(None).cast("double"))).agg(F.sum("score")).collect()
+    forest = M.train(df, M.feature_stages(["x", "z"]), M.random_forest(trees=2, depth=2, features="auto"))
+    assert M._margin(forest.stages) is None and M.scorer(forest)(df).count() == 200
+
+
 def test_search_settings_differ():
     found = M.search_settings({"a": [1, 2, 3], "b": (0.0, 1.0)}, 5)
     assert len({tuple(s.values()) for s in found}) == 5
