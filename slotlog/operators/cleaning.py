@@ -98,13 +98,17 @@ def _day(value) -> dt.date:
     return value if isinstance(value, dt.date) else dt.date.fromisoformat(str(value)[:10])
 
 
-def in_date_range(df: DataFrame, start, end, column: str = "start_time") -> DataFrame:
+def within_dates(start, end, column: str = "start_time") -> Column:
     """``start`` <= column < the day after ``end``; both may be date columns."""
     lo = start.cast("timestamp_ntz") if isinstance(start, Column) else F.lit(
         dt.datetime.combine(_day(start), dt.time())).cast("timestamp_ntz")
     hi = F.date_add(end, 1).cast("timestamp_ntz") if isinstance(end, Column) else F.lit(
         dt.datetime.combine(_day(end) + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
-    return df.filter((F.col(column) >= lo) & (F.col(column) < hi))
+    return (F.col(column) >= lo) & (F.col(column) < hi)
+
+
+def in_date_range(df: DataFrame, start, end, column: str = "start_time") -> DataFrame:
+    return df.filter(within_dates(start, end, column))
 
 
 def in_day_hours(df: DataFrame, column: str = "hour_sched") -> DataFrame:

@@ -68,10 +68,15 @@ def _aggregate(df: DataFrame, keys: list[str], columns: dict[str, Aggregate]) ->
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
-    names = {n: "v__" + n for n in columns}
-    out = df.filter(present).groupBy(*keys).agg(*[fn(F.col(n), pos).alias(names[n]) for n, fn in columns.items()])
-    rename = {v: n for n, v in names.items() if n not in keys}
-    return out.withColumnsRenamed(rename)
+    df = df.filter(present)
+    # Latest values of columns that are never null all come from the latest row: one aggregate holds them.
+    never_null = [n for n, fn in columns.items() if fn is last and not df.schema[n].nullable]
+    found = {"v__" + n: fn(F.col(n), pos) for n, fn in columns.items() if n not in never_null}
+    if never_null:
+        found["latest"] = F.max_by(F.struct(*never_null), pos)
+    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+    value = {n: F.col("latest." + n if n in never_null else "v__" + n) for n in columns}
+    return out.select(*keys, *[c.alias("v__" + n if n in keys else n) for n, c in value.items()])
 
 
 def show_slots(df: DataFrame, columns: dict[str, Aggregate] = DEFAULT_COLUMNS) -> DataFrame:

@@ -71,10 +71,10 @@ def build_feature_set(status_df: DataFrame, valid_date_range, post_codes: DataFr
     """One row per slot with its features. ``extra`` names further columns of the log to keep, ``patients`` the hot ones of the log."""
     df = outpatient(status_df)
     df = features.add_row_features(df, post_codes, site)
-    df = status.times_rescheduled(df, per)
+    # Lead times come first: the rescheduled count begins with the same order.
+    df = status.times_rescheduled(_with_lead_times(df, per) if build_future_slots else df, per)
     columns = {**FEATURE_COLUMNS, **(extra or {})}
     if build_future_slots:
-        df = _with_lead_times(df, per)
         columns.update({c: _largest for c in LEAD_COLUMNS})
         out = slots.build_slots(df, valid_date_range, columns, build_future_slots=True, per=per)
         out = out.filter(F.col("sched_days_advanced").isNotNull())
@@ -108,25 +108,26 @@ def features_ahead(status_df: DataFrame, day, post_codes: DataFrame, site: str,
 
     Kept are slots that are still planned for that time. Appointments whose newest
     status is a cancellation more than three weekdays ahead are left out. ``day`` is a
-    date, or the name of a date column in ``per`` that gives each log its own day.
+    date, or a date column made from ``per`` that gives each log its own day.
     """
     n_lo, n_hi = AHEAD_LIVE if live else AHEAD
-    if isinstance(day, str) and day in per:
-        day = F.col(day)
+    if isinstance(day, Column):
         lo, hi = dates.add_business_days(day, n_lo), dates.add_business_days(day, n_hi)
     else:
         day = _as_day(day)
         lo, hi = shift_business_days(day, n_lo), shift_business_days(day, n_hi)
         day = F.lit(day)
     key = [*per, "FillerOrderNo"]
-    known = status_df.filter(dates.as_date(F.col("date")) < day)
-    pertinent = cleaning.in_date_range(status_df, lo, hi, "now_sched_for_date").select(*key)
-    known = known.join(pertinent, key, "left_semi")
-    known = ordered.with_ordered(known, key, status.message_order(known, "date"), {
-        "newest": ordered.key_last(F.struct("now_status", "now_sched_for_date", "now_sched_for_busday")),
+    seen = dates.as_date(F.col("date")) < day
+    due = cleaning.within_dates(lo, hi, "now_sched_for_date")
+    # One ordered pass for both: the log is read once and, coming from its own pass in this order, neither dealt nor sorted again.
+    known = ordered.with_ordered(status_df, key, status.message_order(status_df, "date"), {
+        "newest": ordered.key_last(F.when(seen, F.struct("now_status", "now_sched_for_date", "now_sched_for_busday"))),
+        "is_due": ordered.key_first(F.when(due, True)),
     })
+    known = known.filter(seen & F.col("is_due")).dropna("any", subset=key)
     known = known.filter(~_canceled_early("newest")).withColumn("newest_planned", F.col("newest.now_sched_for_date"))
-    out = build_feature_set(known.drop("newest"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last}, per=per,
+    out = build_feature_set(known.drop("newest", "is_due"), [lo, hi], post_codes, site, extra={"newest_planned": slots.last}, per=per,
                             patients=patients)
     out = out.withColumn("NoShow", F.lit(False))
     current = out.filter(F.col("newest_planned") == F.col("start_time"))

@@ -56,9 +56,8 @@ def live_features(files: DataFrame, post_codes: DataFrame, site: str, reasons: D
     """
     log = file_logs(files, reasons)
     made = F.col("file_date") if live else dates.subtract_business_days(F.col("file_date"), 3)
-    log = log.withColumn("made_on", made)
-    out = feature_jobs.features_ahead(log, "made_on", post_codes, site, live=live, per=[*FILE, "made_on"])
-    return cleaning.drop_id_prefix(out)
+    out = feature_jobs.features_ahead(log, made, post_codes, site, live=live, per=FILE)
+    return cleaning.drop_id_prefix(out.withColumn("made_on", made))
 
 
 def retrospective_features(files: DataFrame, actual_log: DataFrame, valid_date_range, history: DataFrame,

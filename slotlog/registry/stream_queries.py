@@ -11,7 +11,7 @@ from slotlog.registry import query
 from slotlog.registry.machine_queries import V
 from slotlog.registry.sql import RANGE, S, SLOTS, STATUS, select
 from slotlog.registry.status_queries import log, slot_table
-from slotlog.session import work_dir
+from slotlog.session import cut_lineage, work_dir
 from slotlog.streaming import daily
 
 ENCODING = "UTF-16"
@@ -77,8 +77,8 @@ MODEL_COLUMNS = ["age", "sched_days_advanced", "hour_sched", "no_show_before"]
 
 
 def _model(training):
-    return M.train(training.withColumn("label", F.col("NoShow").cast("int")), M.feature_stages(MODEL_COLUMNS),
-                   M.logistic())
+    rows = training.select(*MODEL_COLUMNS, F.col("NoShow").cast("int").alias("label"))
+    return M.train(rows, M.feature_stages(MODEL_COLUMNS), M.logistic())
 
 
 @query("stream_score_files")
@@ -86,6 +86,9 @@ def _(spark, sf):
     pc = C.post_codes(spark, sf)
     history = features.add_calendar(features.add_no_show_before(C.slots(spark, sf))).withColumn(
         "sched_days_advanced", F.lit(4).cast("long") + F.col("age") % 3)
+    # The fit reads its rows many times and each batch looks up the past: both from one stored table of the columns they use.
+    used = dict.fromkeys(["MRNCmpdId", "FillerOrderNo", "start_time", "NoShow", *MODEL_COLUMNS])
+    history = cut_lineage(history.select(*used), "history")
     path, schema = planning_files(spark, sf)
     table = work_dir(spark, "predictions")
     stream = daily.read_files(spark, path, schema, ENCODING)

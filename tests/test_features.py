@@ -141,6 +141,40 @@ def test_live_file_logs_equal_single_files(spark):
     assert total > 0
 
 
+def test_live_features_read_the_files_once(spark, tmp_path):
+    """Which appointments are due comes from the pass that finds their newest status, not from a second reading of the files."""
+    from slotlog.plans import live_jobs
+
+    raw = raw_log(spark, FOUR, patients=PATIENTS).withColumn("source_file", F.lit("out_10_01_2019.csv"))
+    raw.write.parquet(str(tmp_path / "files"))
+    out = live_jobs.live_features(spark.read.parquet(str(tmp_path / "files")), post_codes(spark), "8091")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert out.count() > 0
+
+
+def test_due_rows_without_appointment_or_file_date_are_left_out(spark):
+    from slotlog.plans import live_jobs
+
+    raw = raw_log(spark, FOUR, patients=PATIENTS).withColumn("source_file", F.lit("out_10_01_2019.csv"))
+    odd = raw.withColumn("FillerOrderNo", F.lit(None).cast("long")).unionByName(raw.withColumn("source_file", F.lit("notes.csv")))
+    cols = ["source_file", "FillerOrderNo", "MRNCmpdId", "start_time", "made_on", "appts_before"]
+    want = records(live_jobs.live_features(raw, post_codes(spark), "8091"), cols)
+    assert records(live_jobs.live_features(raw.unionByName(odd), post_codes(spark), "8091"), cols) == want != []
+
+
+def test_latest_values_skip_nulls_only(spark):
+    """A column that can be null gives its latest value, one that cannot its value in the latest row."""
+    df = spark.createDataFrame([(1, day(1), 0, "a", "x"), (1, day(2), 1, None, "y"), (1, None, 2, "c", "z")],
+                               "FillerOrderNo long, date timestamp_ntz, ingest_seq long, maybe string, text string")
+    df = df.withColumn("sure", F.coalesce("text", F.lit("")))
+    out = slots._aggregate(df, ["FillerOrderNo"], {"sure": slots.last, "maybe": slots.last, "FillerOrderNo": slots.smallest})
+    assert not df.schema["sure"].nullable and out.columns == ["FillerOrderNo", "sure", "maybe", "v__FillerOrderNo"]
+    assert records(out, ["sure", "maybe"]) == [("y", "a")]
+    plan = slots._aggregate(df.withColumn("also", F.coalesce("text", F.lit("-"))), ["FillerOrderNo"], {"sure": slots.last, "also": slots.last})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
+
+
 def test_cascades_last_match_wins(spark):
     df = spark.createDataFrame([("MR SCHÄDEL und Hals",), ("Knie links",), ("x",), ("MRCP",)], "s string")
     assert [r[0] for r in text.add_modality(df, "s").select("modality").collect()] == ["throat", "knee", "other", "organ"]
