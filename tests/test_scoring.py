@@ -193,3 +193,27 @@ def test_registered_importance_covers_all_features_and_repeats(spark, monkeypatc
     registry.QUERIES["permutation_importance"](spark, "")
     every = [*Q.NUMERIC, *Q.CATEGORICAL, "month"]
     assert seen == ["training rows", ("training rows", every, 10), ("test rows", every, 10)]
+
+
+def registered_estimator(spark, monkeypatch, name):
+    """The estimator that a registered query trains, without training it."""
+    from slotlog import registry
+    from slotlog.registry import model_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "halves", lambda spark, sf: {"train": None})
+    monkeypatch.setattr(Q.M, "train", lambda rows, stages, estimator: seen.append(estimator) or {}["stop"])
+    with pytest.raises(KeyError, match="stop"):
+        registry.QUERIES[name](spark, "")
+    return seen[0]
+
+
+def test_registered_boosted_trees_do_all_rounds(spark, monkeypatch):
+    e = registered_estimator(spark, monkeypatch, "train_gbt")
+    assert (e.getMaxIter(), e.getMaxDepth(), e.getStepSize(), e.getSubsamplingRate()) == (400, 3, 0.01, 0.7)
+
+
+def test_boosted_trees_have_a_folder_for_their_rounds(spark):
+    df = spark.createDataFrame([(float(i), int(i % 3 == 0)) for i in range(30)], "x double, label int")
+    assert M.train(df, M.feature_stages(["x"]), M.boosted_trees(rounds=2)).stages[-1].getNumTrees == 2
+    assert spark.sparkContext.getCheckpointDir()
