@@ -217,3 +217,8 @@ def test_boosted_trees_have_a_folder_for_their_rounds(spark):
     df = spark.createDataFrame([(float(i), int(i % 3 == 0)) for i in range(30)], "x double, label int")
     assert M.train(df, M.feature_stages(["x"]), M.boosted_trees(rounds=2)).stages[-1].getNumTrees == 2
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_registered_forest_has_all_trees(spark, monkeypatch):
+    e = registered_estimator(spark, monkeypatch, "train_random_forest")
+    assert (e.getNumTrees(), e.getMaxDepth(), e.getFeatureSubsetStrategy(), e.getWeightCol()) == (400, 10, "6", M.WEIGHT)
