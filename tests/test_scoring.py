@@ -102,6 +102,21 @@ def test_splits_and_folds(spark):
     assert S.assign_folds(df.repartition(5), "label", ["id"], 5).exceptAll(folds).count() == 0
 
 
+@pytest.mark.parametrize("size", [0.0, 0.2, 0.5, 0.999, 1.0])
+def test_split_without_moving_rows(spark, size):
+    """The part of a row is that of its place in the order of hashes; of rows of one identity, as many as are still wanted."""
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in range(60)] + [(900, 1)] * 41, "id long, v long")
+    out = S.split_train_validation(df, ["id", "v"], size)
+    assert out.columns == ["id", "v", "part"]
+    ranked = S.ordered.with_random_rank(df.withColumn("one", F.lit(1)), ["one"], ["id", "v"], 94).withColumn(
+        "part", F.when(F.col("random_rank") < math.ceil(101 * size), "validation").otherwise("train")).select("id", "v", "part")
+    assert sorted(map(str, out.collect())) == sorted(map(str, ranked.collect()))
+    assert S.split_train_validation(df.limit(0), ["id", "v"], size).count() == 0
+    alone = S.split_train_validation(df.filter("id < 60"), ["id", "v"], size)
+    assert alone.filter("part = 'validation'").count() == math.ceil(60 * size)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_per_file(spark):
     rows = [("f1.csv", dt.date(2019, 1, 7), i, day(6 + i % 5), i / 100) for i in range(60)]
     rows += [("f2.csv", dt.date(2019, 1, 10), i, day(9 + i % 2), i / 100) for i in range(20)]
