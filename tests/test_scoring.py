@@ -185,6 +185,29 @@ def test_scores_by_expression_are_those_of_the_model(spark):
     assert M._margin(forest.stages) is None and M.scorer(forest)(df).count() == 200
 
 
+def test_logistic_training_reads_columns_by_plain_aggregates(spark, monkeypatch):
+    """The stages and the model are those of a fitted pipeline, without its fits over assembled vectors."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, StringIndexer
+
+    rows = [(i, float(i % 7), float(i * i % 11), 3.0, [None, "a", "c", "b"][i % 4], i % 12 + 1, int(i % 7 + i % 3 > 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, same double, k string, month int, label int")
+    stages = M.feature_stages(["x", "z", "same"], ["k"], {"month": (12, 1)})
+    want = Pipeline(stages=[*stages, M.logistic()]).fit(M.balanced_weights(df))
+    for kind in (StandardScaler, StringIndexer):
+        monkeypatch.setattr(kind, "_fit", lambda self, rows: 1 / 0)
+    got = M.train(df, stages, M.logistic())
+    assert [type(s) for s in got.stages] == [type(s) for s in want.stages]
+    assert list(got.stages[1].labelsArray[0]) == list(want.stages[1].labelsArray[0]) == ["a", "b", "c"]
+    for a, b in ((got.stages[4], want.stages[4]),):
+        assert list(a.mean) == pytest.approx(list(b.mean)) and list(a.std) == pytest.approx(list(b.std))
+    assert list(got.stages[-1].coefficients) == pytest.approx(list(want.stages[-1].coefficients), abs=1e-9)
+    both = [[r[0] for r in m.transform(df).select(F.col("probability").cast("string")).orderBy("id").collect()] for m in (got, want)]
+    assert [float(v.strip("[]").split(",")[1]) for v in both[0]] == pytest.approx([float(v.strip("[]").split(",")[1]) for v in both[1]], abs=1e-9)
+    with pytest.raises(Exception, match="null or NaN"):
+        M.train(df.withColumn("x", F.when(F.col("id") > 3, F.col("x"))), stages, M.logistic())
+
+
 def test_search_settings_differ():
     found = M.search_settings({"a": [1, 2, 3], "b": (0.0, 1.0)}, 5)
     assert len({tuple(s.values()) for s in found}) == 5
